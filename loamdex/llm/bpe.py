@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute is not there without it
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 

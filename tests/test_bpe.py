@@ -1,0 +1,26 @@
+import base64
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+
+import __spark_entry__ as entry
+from loamdex.llm import bpe
+
+
+def test_p8_ids_equals_tiktoken(spark, tmp_path):
+    public, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
+    with open(public.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [None, "", "  \n", "It's <|endoftext|> 12½ naïve 共通\r\n\x00é _x__", "ab" * 900, "x" * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = dict(map(tuple, entry.queries()["p8_ids"](spark, str(tmp_path)).collect()))
+    assert rows == {i: own.encode_ordinary(t or "") for i, t in enumerate(texts)}
+
+
+def test_a_worker_that_imports_only_the_module_has_what_it_needs():
+    code = "import pyarrow as pa; from loamdex.llm import bpe; print(list(bpe._slices(pa.array(['a', None]))))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(bpe.__file__).parents[2], capture_output=True, text=True, check=False)
+    assert done.stdout.strip() == "[(0, 2)]", done.stderr
