@@ -1,0 +1,42 @@
+"""One ranking out of the hit lists of several engines.
+
+Method: weighted reciprocal rank fusion. Only the order inside each list counts, so no engine's
+score range decides. An item adds weight / (RANK_OFFSET + rank) for every list that holds it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: The reference's constant.
+RANK_OFFSET = 60
+#: Weight of the vector list where a query gives none.
+DEFAULT_ALPHA = 0.7
+
+
+def fused_top(queries: DataFrame, results: DataFrame, k: int) -> DataFrame:
+    """(query_id, uri, chunk_index): the first ``k`` items of each hybrid query.
+
+    The vector list weighs alpha (cut to 0..1), the other lists that hold a hit share 1 - alpha
+    equally. Repeated rows count once, by their best score; null and NaN scores are no hits. Equal
+    scores are ordered by uri and chunk_index, in a list and in the result.
+    """
+    alpha = F.greatest(F.least(F.coalesce(F.col("alpha"), F.lit(DEFAULT_ALPHA).cast("float")).cast("double"), F.lit(1.0)), F.lit(0.0))
+    asked = queries.where(F.col("search_mode") == "hybrid").select("query_id", alpha.alias("alpha"))
+    hits = (
+        results.where(F.col("score").isNotNull() & ~F.isnan("score"))
+        .join(asked, "query_id")
+        .groupBy("query_id", "alpha", "engine", "uri", "chunk_index")
+        .agg(F.max("score").alias("score"))
+    )
+    in_list = Window.partitionBy("query_id", "engine").orderBy(F.desc("score"), "uri", "chunk_index")
+    in_query = Window.partitionBy("query_id")
+    # A list's first hit stands for the list.
+    ranked = hits.withColumn("pos", F.row_number().over(in_list))
+    ranked = ranked.withColumn("others", F.sum(((F.col("pos") == 1) & (F.col("engine") != "vector")).cast("int")).over(in_query))
+    weight = F.when(F.col("engine") == "vector", F.col("alpha")).otherwise((1 - F.col("alpha")) / F.col("others"))
+    # Rounded, so that the order of the sum can't part equal scores.
+    fused = ranked.groupBy("query_id", "uri", "chunk_index").agg(F.round(F.sum(weight / (RANK_OFFSET + F.col("pos"))), 12).alias("fused"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("fused"), "uri", "chunk_index")
+    return fused.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("query_id", "uri", "chunk_index")

@@ -5,8 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loamdex.llm.bpe import encode_column
+from loamdex.llm.fusion import fused_top
+from loamdex.llm.handmade import not_by_hand
+from loamdex.llm.mixing import short_sources
+from loamdex.llm.neighbours import similar_pairs
+from loamdex.llm.prose import not_prose, prose_statistics
+from loamdex.llm.splitting import oversized, split_oversized
+from loamdex.llm.terms import characteristic_terms
 from loamdex.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +31,67 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("collection"), F.col(i).alias("id"), "vector") for t, i in (("embedded_chunks", "chunk_id"), ("export_entries", "entry_id"))]
+    return similar_pairs(parts[0].unionByName(parts[1]), 0.9, 5).select("collection", "id_a", "id_b")
+
+
+P2_SQL = """
+WITH hits AS (SELECT query_id, engine, uri, chunk_index, max(score) AS score FROM search_results
+              WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, engine ORDER BY score DESC, uri, chunk_index) AS pos FROM hits),
+others AS (SELECT query_id, count(DISTINCT engine) AS n FROM hits WHERE engine <> 'vector' GROUP BY query_id),
+weights AS (SELECT q.query_id, greatest(least(coalesce(q.alpha, 0.7::FLOAT)::DOUBLE, 1.0), 0.0) AS alpha, o.n
+            FROM search_queries q LEFT JOIN others o USING (query_id) WHERE q.search_mode = 'hybrid'),
+fused AS (SELECT query_id, uri, chunk_index,
+                 round(sum(CASE WHEN engine = 'vector' THEN alpha ELSE (1 - alpha) / n END / (60 + pos)), 12) AS score
+          FROM ranked JOIN weights USING (query_id) GROUP BY ALL)
+SELECT query_id, uri, chunk_index FROM fused
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uri, chunk_index) <= 5
+"""
+
+
+@query("p2_found", P2_SQL)
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fused_top(table(spark, sf_dir, "search_queries"), table(spark, sf_dir, "search_results"), 5)
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_by_hand(table(spark, sf_dir, "documents")).select("uri")
+
+
+@query("p6_found", "SELECT chunk_id FROM embedded_chunks c JOIN chunk_profiles p USING (content_type) WHERE strlen(c.text) > p.chunk_size")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oversized(table(spark, sf_dir, "embedded_chunks"), table(spark, sf_dir, "chunk_profiles")).select("chunk_id")
+
+
+@query("p6_pieces")
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_oversized(table(spark, sf_dir, "embedded_chunks"), table(spark, sf_dir, "chunk_profiles"))
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return characteristic_terms(table(spark, sf_dir, "documents"), table(spark, sf_dir, "term_probes"), 1).select("doc_id", "term")
+
+
 @query("p8_ids")
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_column(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return short_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).select("mix_name", "source")
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_prose(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+@query("p10_statistics")
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose_statistics(table(spark, sf_dir, "documents"))

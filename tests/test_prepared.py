@@ -1,0 +1,64 @@
+from pyspark.sql import functions as F
+
+from loamdex.llm.fusion import fused_top
+from loamdex.llm.handmade import kind_of
+from loamdex.llm.mixing import short_sources
+from loamdex.llm.neighbours import similar_pairs
+from loamdex.llm.prose import PROSE_SHARE, statistics
+from loamdex.llm.splitting import split_bytes
+from loamdex.llm.terms import characteristic_terms
+
+
+def test_p1_pairs(spark):
+    rows = [("t", 1, [1.0, 0.0]), ("t", 2, [2.0, 0.1]), ("t", 3, [0.0, 1.0]), ("t", 4, [0.0, 0.0]), ("t", 5, None), ("t", 6, [1.0, 0.0, 0.0]), ("u", 7, [1.0, 0.0]), ("t", 8, [1.0, None])]
+    df = spark.createDataFrame(rows, "collection string, id bigint, vector array<float>")
+    assert [tuple(r)[:3] for r in similar_pairs(df, 0.9, 5).collect()] == [("t", 1, 2)]
+
+
+def test_p2_other_lists_share_what_alpha_leaves(spark):
+    queries = spark.createDataFrame([(1, 0.4, "hybrid"), (2, 0.4, "keyword_only")], "query_id bigint, alpha float, search_mode string")
+    hits = [(1, "vector", "a", 0, 0.9), (1, "fts5", "b", 0, 900.0), (1, "fts5", "b", 0, 900.0), (1, "tantivy", "b", 0, 3.0), (1, "tantivy", "c", 0, float("nan")), (2, "fts5", "a", 0, 1.0)]
+    results = spark.createDataFrame(hits, "query_id bigint, engine string, uri string, chunk_index int, score float")
+    assert sorted(map(tuple, fused_top(queries, results, 5).collect())) == [(1, "a", 0), (1, "b", 0)]
+    assert fused_top(queries, results, 1).collect()[0]["uri"] == "b"
+
+
+def test_p4_kinds():
+    hand = "import a\n\ndef f(x):\n    return x\n"
+    assert kind_of("/r/src/vendor_portal/a.py", hand) is None and kind_of("/r/src/vendor/b/a.py", hand) == "vendored"
+    assert kind_of("/r/a.py", "# Code generated by x. DO NOT EDIT.\n" + hand) == "generated"
+    assert kind_of("/r/a.py", "# Written by hand; this replaces the generated version.\n" + hand) is None
+    assert kind_of("/r/a.js", "function a(b){return c.d(e)||1}" * 20) == "minified"
+    assert kind_of("/r/a.c", "T x[] = {\n" + "0xa0, 0xeb, 0x9c, 0x51,\n" * 9 + "};\n") == "data"
+    assert kind_of("/r/vendor/a.py", " \n") is None
+
+
+def test_p6_pieces_fit_and_lose_nothing():
+    raw = ("Ein Satz über Bäume. " * 20 + "\n\n" + "共通の一覧" * 60 + "x" * 300).encode()
+    parts = split_bytes(raw, 100, 16)
+    assert all(b - a <= 100 and raw[a:b].decode() for a, b in parts)
+    assert parts[0][0] == 0 and parts[-1][1] == len(raw)
+    assert all(parts[i + 1][0] <= parts[i][1] < parts[i + 1][1] and parts[i][1] - parts[i + 1][0] <= 16 for i in range(len(parts) - 1))
+
+
+def test_p7_prefers_the_term_of_this_text(spark):
+    docs = [(1, "the the the zebra zebra x"), (2, "the the cat"), (3, "the dog"), (4, None)]
+    found = characteristic_terms(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1,), (4,)], "doc_id bigint"), 1)
+    assert [tuple(r)[:2] for r in found.collect()] == [(1, "zebra")]
+
+
+def test_p9_source_without_documents_is_short(spark):
+    docs = spark.createDataFrame([("a", "one two three"), ("a", None), (None, "x")], "source string, text string")
+    targets = [("m", "a", 0.5, 2, 12), ("m", "a", 0.6, 2, 12), ("m", "b", 0.1, 9, 12)]
+    df = spark.createDataFrame(targets, "mix_name string, source string, target_share double, max_repeats int, budget_tokens bigint")
+    assert sorted(tuple(r) for r in short_sources(docs, df).select("source", F.col("target_share")).collect()) == [("a", 0.6), ("b", 0.1)]
+
+
+def test_p10_statistics():
+    def prose(text):
+        return statistics(text)[-1] >= PROSE_SHARE
+
+    sentence = "There are small notes and there are long ones, and we must not mix the two before lunch. "
+    assert prose(sentence * 3) and prose(sentence * 3 + "\n- a list\n- of two") and prose("月末に、報告書の中にある文書を削除します。")
+    assert not prose(" ".join(sentence)) and not prose("- Add pool in x\n- Fix store in y\n") and not prose("a,b,c\n1,2,3\n4,5,6\n")
+    assert statistics(None) is None and statistics(" \n") is None
