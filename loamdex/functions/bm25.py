@@ -1,0 +1,29 @@
+"""Keyword search with BM25."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loamdex.functions.text import terms_of
+
+K1, B = 1.2, 0.75
+
+
+def bm25_top(documents: DataFrame, words: Sequence[str], k: int) -> DataFrame:
+    """(uri, score) of the ``k`` best documents for ``words``; equal scores (to six digits) by uri.
+
+    All documents count for the average length and the idf, null and empty texts with length 0.
+    """
+    docs = documents.select("doc_id", F.coalesce(terms_of("text"), F.array().cast("array<string>")).alias("terms"))
+    size = docs.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
+    asked = docs.select("doc_id", F.size("terms").alias("dl"), F.explode(F.filter("terms", lambda x: x.isin(*words))).alias("term"))
+    tf = asked.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    rows = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(size))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = rows.groupBy("doc_id").agg(F.round(F.sum(score), 6).alias("score"))
+    return scored.select(F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("uri"), "score").orderBy(F.desc("score"), "uri").limit(k)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamdex.functions.bm25 import bm25_top
 from loamdex.operators.incremental import replay_changes
 from loamdex.operators.references import broken_references, orphan_report
 from loamdex.session import table
@@ -73,3 +74,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p5_report", f"SELECT ref_field, reason, period, count(*) AS n FROM ({P5_SQL}) GROUP BY ALL")
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_report(p5_found(spark, sf_dir))
+
+
+#: The three words of the flagship query.
+WORDS = ("ledger", "budget", "schedule")
+
+BM25_SQL = """
+WITH terms AS (SELECT doc_id, unnest([lower(x) FOR x IN regexp_extract_all(text, '[\\p{L}\\p{N}]+') IF strlen(x) >= 2]) AS term FROM documents),
+docs AS (SELECT doc_id, count(*) AS dl FROM terms GROUP BY doc_id),
+size AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM terms) / (SELECT count(*) FROM documents) AS avgdl),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM terms WHERE term IN ('ledger', 'budget', 'schedule') GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
+SELECT 'doc://' || doc_id AS uri, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+FROM tf JOIN df USING (term) JOIN docs USING (doc_id), size GROUP BY doc_id ORDER BY score DESC, uri LIMIT 10
+"""
+
+
+@query("bm25_topk", BM25_SQL)
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_top(table(spark, sf_dir, "documents"), WORDS, 10)

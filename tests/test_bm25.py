@@ -1,0 +1,6 @@
+from loamdex.functions.bm25 import bm25_top
+
+
+def test_bm25_orders_by_score(spark):
+    docs = spark.createDataFrame([(1, "Budget budget ledger"), (2, "budget and many other words here"), (3, "nothing"), (4, None)], "doc_id bigint, text string")
+    assert [r["uri"] for r in bm25_top(docs, ("ledger", "budget", "schedule"), 10).collect()] == ["doc://1", "doc://2"]
