@@ -56,15 +56,15 @@ def reference_status(refs: DataFrame, ref_key: str, parents: DataFrame, parent_k
     per_key = (
         parents.where(F.col(parent_key).isNotNull())
         .groupBy(F.col(parent_key).alias("_key"))
-        .agg(F.min(at).alias("first_at"), F.max_by(gone, order).alias("is_gone"))
+        .agg(F.min(at).alias("first_at"), F.max_by(gone, order).alias("is_gone"), F.lit(True).alias("present"))
     )
     code, shift = key_code(counts, "_key")
     with_code = {"_code": code}
     r = counts.select("_key").withColumns(with_code).withColumn("_block", F.shiftright("_code", shift))
     p = per_key.select("_key").withColumns(with_code).withColumn("_block", F.shiftright("_code", shift))
     matched = asof_orphans(r.select("_block", "_code", "_key"), key_runs(p, "_code", "_block"), "_code", "_block")
-    verdict = matched.join(per_key, "_key", "left")  # the exact check of those inside a run
-    exists = F.col("in_run") & F.col("first_at").isNotNull()
+    verdict = matched.join(per_key, "_key", "left")  # the exact check of the key itself
+    exists = F.col("in_run") & F.coalesce("present", F.lit(False))
     return verdict.select("_key", exists.alias("exists"), F.coalesce("is_gone", F.lit(False)).alias("is_gone"), "first_at"), counts
 
 
