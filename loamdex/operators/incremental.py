@@ -9,6 +9,7 @@ same records again, so none is skipped and none is repeated.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -82,9 +83,11 @@ def replay_changes(sources: DataFrame, runs: DataFrame) -> DataFrame:
 class IncrementalJob:
     """A job over an append-only table that runs again and again, each time over the new rows only.
 
-    State lives below ``state_dir`` on any Hadoop file system: ``staged/<seq>`` holds outputs,
-    ``commits/<seq>.json`` names the output and the watermark it reaches. Creating the commit file
-    by rename is the atomic step; outputs without a commit file are ignored and overwritten.
+    State lives below ``state_dir`` on any Hadoop file system: ``staged/<seq>-<attempt>`` holds the
+    output of one attempt, ``commits/<seq>.json`` names the output and the watermark it reaches.
+    Creating the commit file by rename is the atomic step; outputs that no commit file names are
+    ignored. The sequence must be unique and monotonic: a row that arrives later with a value up to
+    the watermark is never taken. Where it isn't, give a ``limit`` below the value still open.
     """
 
     def __init__(self, spark: SparkSession, state_dir: str, seq_col: str):
@@ -120,8 +123,8 @@ class IncrementalJob:
         if low is not None:
             due = due.where(F.col(self.seq_col) > low)
         n = len(done)
-        out = f"{self.dir}/staged/{n:09d}"
-        transform(due).write.mode("overwrite").parquet(out)
+        out = f"{self.dir}/staged/{n:09d}-{uuid.uuid4().hex}"
+        transform(due).write.parquet(out)
         commit = {"seq": n, "low": low, "watermark": limit, "output": out}
         self._publish(f"{self.dir}/commits/{n:09d}.json", json.dumps(commit))
         return commit
@@ -132,7 +135,7 @@ class IncrementalJob:
         return self.spark.read.parquet(*paths) if paths else None
 
     def _publish(self, target: str, text: str) -> None:
-        part = self._path(target + ".part")
+        part = self._path(f"{target}.{uuid.uuid4().hex}.part")
         stream = self._fs.create(part, True)
         stream.write(bytearray(text.encode()))
         stream.close()
