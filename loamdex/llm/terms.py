@@ -1,8 +1,10 @@
-"""Terms by how characteristic they are of a document.
+"""Terms by how characteristic they are of a document against the whole collection.
 
-Method: divergence from randomness, model PL2. A term is the more characteristic the less likely
-its count in the document would be if its occurrences were spread over all documents at random
-(Poisson), with counts brought to the average length and Laplace's after-effect.
+Method: divergence from randomness. The count of a term in a document is first brought to the
+average length (normalisation 2: tf * log2(1 + average / length)). Its information content is how
+unlikely that count would be if the collection's occurrences fell on documents geometrically with
+their mean rate; the after-effect of Laplace, 1 / (tf + 1), is the gain that one more occurrence
+still brings. Their product is the weight.
 """
 
 from __future__ import annotations
@@ -12,26 +14,40 @@ from pyspark.sql import functions as F
 
 from loamdex.functions.text import terms_of
 
-def pl2(tf: Column, length: Column, avg_length: Column, rate: Column) -> Column:
-    """The PL2 weight of a term; ``rate`` is its occurrences per document."""
+
+def dfr_weight(tf: Column, length: Column, avg_length: Column, rate: Column) -> Column:
+    """Geometric information content times Laplace gain; ``rate`` is occurrences per document."""
     n = tf * F.log2(1 + avg_length / length)
-    surprise = n * F.log2(n / rate) + (rate - n) * F.log2(F.lit(2.718281828459045)) + 0.5 * F.log2(2 * 3.141592653589793 * n)
-    return surprise / (n + 1)
+    # -log2 of (1 / (1 + rate)) * (rate / (1 + rate)) ** n
+    information = F.log2(1 + rate) + n * F.log2((1 + rate) / rate)
+    return information / (n + 1)
+
+
+def term_statistics(documents: DataFrame) -> DataFrame:
+    """(term, occurrences) over all documents. Counted within each partition before the shuffle."""
+    return documents.select(F.explode(terms_of("text")).alias("term")).groupBy("term").agg(F.count("*").alias("occurrences"))
 
 
 def characteristic_terms(documents: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     """(doc_id, term, score): the ``k`` most characteristic terms of each probed document.
 
-    Counts are over all documents. Null texts have no terms but count as documents. Equal scores
-    are ordered by term. A probe without terms has no row.
+    All statistics are over all documents. Null, empty and blank texts have no terms but count as
+    documents; with no term at all there are no rows. Rows of documents repeated under one doc_id
+    count as one longer document. Equal scores (to nine digits) are ordered by term. A probe that is
+    null, repeated, unknown or without terms has one row or none. Other columns are ignored.
+
+    Terms are counted within each partition before they are shuffled, so a frequent term costs one
+    row a partition; the totals come from the same counts. Only the probed documents' own terms are
+    joined with them.
     """
-    terms = documents.select("doc_id", terms_of("text").alias("terms"))
-    asked = terms.join(F.broadcast(probes.select("doc_id").distinct()), "doc_id")
-    asked = asked.withColumn("length", F.size("terms")).select("doc_id", "length", F.explode("terms").alias("term"))
-    tf = asked.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
-    total = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("occurrences"))
-    size = terms.agg(F.count("*").alias("docs"), F.avg(F.coalesce(F.size("terms"), F.lit(0))).alias("avg_length"))
-    scored = tf.join(total, "term").crossJoin(F.broadcast(size))
-    score = pl2(F.col("tf"), F.col("length"), F.col("avg_length"), F.col("occurrences") / F.col("docs"))
+    asked_ids = probes.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
+    asked = documents.select("doc_id", "text").join(asked_ids, "doc_id", "left_semi").select("doc_id", F.explode(terms_of("text")).alias("term"))
+    tf = asked.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    tf = tf.withColumn("length", F.sum("tf").over(Window.partitionBy("doc_id")))
+    total = term_statistics(documents)
+    # One row each: the totals reuse the exchange of the counts.
+    size = total.agg(F.sum("occurrences").alias("all")).crossJoin(documents.agg(F.count("*").alias("docs"))).withColumn("avg_length", F.col("all") / F.col("docs"))
+    scored = tf.join(total, "term").crossJoin(F.broadcast(size))  # size is one row
+    score = dfr_weight(F.col("tf"), F.col("length"), F.col("avg_length"), F.col("occurrences") / F.col("docs"))
     w = Window.partitionBy("doc_id").orderBy(F.desc(F.round("score", 9)), "term")
     return scored.withColumn("score", score).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("doc_id", "term", "score")
