@@ -9,27 +9,33 @@ compacted away. Pieces too long for a matrix use the same rule with a heap.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import os
 import re
 import sys
 import unicodedata
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401 - pa.compute is not there without it
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Folder of the public vocabulary files; a parameter of every operator here.
 VOCABULARIES = os.environ.get("LOAMDEX_TOKENIZERS", "/opt/tokenizers")
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 
-#: Pieces of more bytes are merged with a heap: a matrix takes time quadratic in the width.
-MATRIX_WIDTH = 1024
-#: Distinct pieces a process remembers before it starts afresh. No effect on results.
-CACHE_PIECES = 400_000
+#: Pieces of more bytes are merged with a heap, with the same result: a matrix takes time quadratic
+#: in the width. From about here on the heap is as fast.
+MATRIX_WIDTH = 256
+#: Bytes of distinct pieces a process remembers before it starts afresh, and the longest piece it
+#: remembers between batches. No effect on results.
+CACHE_BYTES, CACHE_PIECE_CHARS = 48_000_000, 64
+#: Vocabularies a worker process holds at once.
+HELD_ENCODERS = 2
 #: Text handled at once inside an Arrow batch.
 SLICE_CHARS = 4_000_000
 NONE = np.int32(2**31 - 1)
@@ -120,18 +126,26 @@ class ByteBPE:
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.split = split_pattern().findall
         self.cache: dict[str, bytes] = {}
+        self.cached_bytes = 0
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian int32 bytes; empty for an empty or null text."""
         pieces = [self.split(t) if t else () for t in texts]
-        self._learn(set().union(*pieces))
+        long = self._learn(set().union(*pieces))
         get = self.cache.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        out = [b"".join(map(get, p)) for p in pieces]
+        for w in long:
+            del self.cache[w]
+        return out
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: set[str]) -> list[str]:
+        """Put ``words`` into the cache; those too long to be kept there after this batch."""
+        if self.cached_bytes > CACHE_BYTES:
+            self.cache, self.cached_bytes = {}, 0
         new = words - self.cache.keys()
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache, new = {}, words
+        long = [w for w in new if len(w) > CACHE_PIECE_CHARS]
+        # A piece, its ids and the entry take about this much.
+        self.cached_bytes += sum(200 + 3 * len(w) for w in new) - sum(200 + 3 * len(w) for w in long)
         buckets: dict[int, list[tuple[str, bytes]]] = {}
         for w in new:
             raw = w.encode()
@@ -146,6 +160,7 @@ class ByteBPE:
                 part = members[i : i + step]
                 for (w, _), ids in zip(part, self.merge_rows([r for _, r in part], width), strict=True):
                     self.cache[w] = ids
+        return long
 
     def merge_rows(self, rows: list[bytes], width: int) -> list[bytes]:
         """Encode byte strings of at most ``width`` bytes together."""
@@ -205,20 +220,33 @@ class ByteBPE:
         return np.array([x for x in ids if x >= 0], "<i4").tobytes()
 
 
-_ENCODERS: dict[int, ByteBPE] = {}
+_ENCODERS: OrderedDict[str, ByteBPE] = OrderedDict()
+_SHARED: dict[tuple, tuple] = {}
+
+
+def _encoder(digest: str, ranks: dict[bytes, int]) -> ByteBPE:
+    """One encoder per worker process and vocabulary; the vocabulary's digest tells them apart."""
+    if digest not in _ENCODERS:
+        while len(_ENCODERS) >= HELD_ENCODERS:
+            _ENCODERS.popitem(last=False)
+        _ENCODERS[digest] = ByteBPE(ranks)
+    _ENCODERS.move_to_end(digest)
+    return _ENCODERS[digest]
 
 
-def _encoder(shared) -> ByteBPE:
-    """One encoder per worker process and vocabulary."""
-    key = shared.id if hasattr(shared, "id") else id(shared)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = ByteBPE(shared.value)
-    return _ENCODERS[key]
+def _shared_ranks(spark: SparkSession, path: str) -> tuple:
+    """(broadcast, digest) of a vocabulary, sent once per application. A fixed public file of about a megabyte."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(path), os.path.getmtime(path))
+    if key not in _SHARED:
+        ranks = read_ranks(path)
+        digest = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
+        _SHARED[key] = spark.sparkContext.broadcast(ranks), digest
+    return _SHARED[key]
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of about SLICE_CHARS, so that long texts do not pile up in memory."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
     start, total = 0, 0
     for i, s in enumerate(sizes):
         if total and total + s > SLICE_CHARS:
@@ -230,14 +258,13 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 def _apply(df: DataFrame, text: str, out: str, field_type: T.DataType, vocabulary: str | None, make) -> DataFrame:
     path = vocabulary or os.path.join(VOCABULARIES, DEFAULT_VOCABULARY)
-    # The vocabulary is a fixed public file of about a megabyte: read once, broadcast to workers.
-    shared = df.sparkSession.sparkContext.broadcast(read_ranks(path))
+    shared, digest = _shared_ranks(df.sparkSession, path)
     kept = [c for c in df.columns if c != out]
     at = kept.index(text)
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(out, field_type)])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _encoder(shared)
+        bpe = _encoder(digest, shared.value)
         for batch in batches:
             for i, j in _slices(batch.column(at)) if batch.num_rows else ():
                 part = batch.slice(i, j - i)
