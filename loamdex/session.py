@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -19,14 +21,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint when it has at most ``max_rows`` rows, else unchanged.
-
-    The size is counted, never assumed; beyond the bound the planner picks a shuffle join.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def collect_bounded(df: DataFrame, max_rows: int) -> list:
     """All rows of a configuration-sized table; raises instead of collecting an unbounded one."""
     rows = df.limit(max_rows + 1).collect()
@@ -36,10 +30,17 @@ def collect_bounded(df: DataFrame, max_rows: int) -> list:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder in the shared checkpoint location; a local one only where none is configured."""
+    """A fresh folder in the shared location that spark.checkpoint.dir names.
+
+    Where none is named, a local session gets a temporary folder, removed when the process ends; a
+    cluster, whose executors would each write to a disk of their own, is refused.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="loamdex-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/loamdex-{uuid.uuid4().hex}"
 
