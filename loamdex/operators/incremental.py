@@ -9,85 +9,44 @@ same records again, so none is skipped and none is repeated.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamdex.session import collect_bounded
+#: Commits after which the state a job keeps is rewritten as one folder.
+COMPACT_EVERY = 16
 
-#: Seconds per block of the as-of lookup of runs: a power of two near twelve days.
-RUN_BLOCK = 1 << 20
-#: The run log is configuration-sized; more rows than this are refused.
-MAX_RUNS = 100_000
 
+class LateRecords(RuntimeError):
+    """Records arrived at or below the watermark: the sequence isn't monotonic, and no run would take them."""
 
-def successful_runs(runs: DataFrame) -> list[tuple[int, int | None, int]]:
-    """(run_id, lo, hi) of the successful runs that advance the watermark, in run_id order.
 
-    A run takes the sequence interval (lo, hi]; lo is None for the first. Runs without success or
-    without ``finished_at``, and runs whose limit is not above an earlier one, take nothing.
-    """
-    ok = runs.where((F.col("status") == "success") & F.col("finished_at").isNotNull()).select("run_id", "finished_at").distinct()
-    out, mark = [], None
-    for run_id, hi in sorted(map(tuple, collect_bounded(ok, MAX_RUNS))):
-        if mark is None or hi > mark:
-            out.append((run_id, mark, hi))
-            mark = hi
-    return out
-
-
-def take_by_run(records: DataFrame, runs: DataFrame, seq: str = "indexed_at") -> DataFrame:
-    """``records`` plus ``run_id`` of the first successful run whose limit reaches ``seq``.
-
-    Records after the last successful limit, or with a null ``seq``, are not taken and left out.
-    The as-of lookup is an equi-join on time blocks, broadcasting the run log (size checked).
-    """
-    spans = successful_runs(runs)
-    if not spans:
-        return records.where(F.lit(False)).withColumn("run_id", F.lit(None).cast("int"))
-    first_id, _, first_hi = spans[0]
-    blocks = [(r, lo, hi, b) for r, lo, hi in spans[1:] for b in range(lo // RUN_BLOCK, hi // RUN_BLOCK + 1)]
-    inner = records.sparkSession.createDataFrame(blocks, "_run int, _lo bigint, _hi bigint, _block bigint")
-    hit = (F.floor(F.col(seq) / RUN_BLOCK) == F.col("_block")) & (F.col(seq) > F.col("_lo")) & (F.col(seq) <= F.col("_hi"))
-    run = F.when(F.col(seq) <= first_hi, F.lit(first_id).cast("int")).otherwise(F.col("_run"))
-    joined = records.join(F.broadcast(inner), hit, "left").withColumn("run_id", run)
-    return joined.where(F.col("run_id").isNotNull()).select(*records.columns, "run_id")
-
-
-def replay_changes(sources: DataFrame, runs: DataFrame) -> DataFrame:
-    """(run_id, uri): for each successful run the files new or changed since they were last taken.
+class CommitConflict(RuntimeError):
+    """Another run has committed in the meantime."""
 
-    A run takes the rows with watermark < indexed_at <= its limit. Of the rows it takes for a uri
-    the last by (indexed_at, source_id) counts. The file is a case unless that row is deleted or
-    its content_hash equals (null-safe) the one that counted in the latest earlier run that took
-    the uri; after a deleted row, or with no earlier row, it is always a case. ``modified_at``
-    plays no part. Null uris are no files. Null status means indexed. Repeated rows change nothing.
-    An empty table or an empty run log gives no rows.
 
-    Rows are reduced to one per (run, uri) with map-side combine before anything is grouped by uri,
-    so a uri with a third of all rows reaches the window as at most one row per run.
-    """
-    slim = sources.where(F.col("uri").isNotNull()).select("uri", "content_hash", "status", "indexed_at", "source_id")
-    taken = take_by_run(slim, runs)
-    last = taken.groupBy("uri", "run_id").agg(
-        F.max_by(F.struct("content_hash", (F.coalesce("status", F.lit("indexed")) == "deleted").alias("gone")), F.struct("indexed_at", "source_id")).alias("now")
-    )
-    w = Window.partitionBy("uri").orderBy("run_id")
-    seen = last.withColumn("before", F.lag("now").over(w))
-    same = F.col("before").isNotNull() & ~F.col("before.gone") & F.col("before.content_hash").eqNullSafe(F.col("now.content_hash"))
-    return seen.where(~F.col("now.gone") & ~same).select("run_id", "uri")
+def due(records: DataFrame, seq: str, low: int | None, limit: int) -> DataFrame:
+    """The records in (low, limit] of the sequence; null sequences are never due. Pushed to the scan."""
+    rows = records.where(F.col(seq) <= limit)
+    return rows if low is None else rows.where(F.col(seq) > low)
 
 
 class IncrementalJob:
     """A job over an append-only table that runs again and again, each time over the new rows only.
 
-    State lives below ``state_dir`` on any Hadoop file system: ``staged/<seq>-<attempt>`` holds the
-    output of one attempt, ``commits/<seq>.json`` names the output and the watermark it reaches.
-    Creating the commit file by rename is the atomic step; outputs that no commit file names are
-    ignored. The sequence must be unique and monotonic: a row that arrives later with a value up to
-    the watermark is never taken. Where it isn't, give a ``limit`` below the value still open.
+    State lives below ``state_dir`` on any Hadoop file system with an atomic rename: each attempt
+    writes a folder of its own, ``staged/<number>-<attempt>``; ``commits/<number>.json`` names the
+    folder that won, the watermark it reaches and the folders that make up the state. Creating that
+    file is the atomic step, and fails where the file exists. Folders that no commit names are
+    ignored; an attempt that loses deletes its own.
+
+    The sequence must be monotonic: rows may only be appended above the largest one there. A commit
+    records how many rows lie up to its watermark, and the next run refuses with LateRecords if
+    there are more now, instead of losing them in silence. Where appends are still open at the
+    largest value, give a ``limit`` below it.
     """
 
     def __init__(self, spark: SparkSession, state_dir: str, seq_col: str):
@@ -96,51 +55,85 @@ class IncrementalJob:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.dir).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def commits(self) -> list[dict]:
+    def last_commit(self) -> dict | None:
+        """The newest commit; earlier ones aren't read."""
         folder = self._path(f"{self.dir}/commits")
         if not self._fs.exists(folder):
-            return []
-        files = sorted(s.getPath().toString() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
-        return [json.loads(self._read(f)) for f in files]
+            return None
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        done = [n for n in names if n.endswith(".json")]
+        return json.loads(self._read(f"{self.dir}/commits/{max(done)}")) if done else None
 
     def watermark(self) -> int | None:
-        done = self.commits()
-        return done[-1]["watermark"] if done else None
+        last = self.last_commit()
+        return last and last["watermark"]
+
+    def state(self, last: dict | None) -> DataFrame | None:
+        """Everything that commits up to ``last`` have written, oldest rows compacted."""
+        return self.spark.read.parquet(*last["state"]) if last else None
 
-    def run(self, records: DataFrame, transform: Callable[[DataFrame], DataFrame], limit: int | None = None) -> dict | None:
+    def run(self, records: DataFrame, transform: Callable[..., DataFrame], limit: int | None = None, compact: Callable[[DataFrame], DataFrame] | None = None, stateful: bool = False) -> dict | None:
         """Process the rows in (watermark, limit]; ``limit`` defaults to the largest sequence now.
 
-        Returns the commit, or None when there is nothing new. Rows with a null sequence are never
-        due. If ``transform`` or the write fails, the watermark stays where it was.
+        ``transform`` gets the due rows, and with ``stateful`` also what was committed before (or
+        None) and the number of this commit. With ``compact`` that state is rewritten through it
+        every COMPACT_EVERY commits. Returns the commit, or None when the limit is not above the
+        watermark (or nothing has a sequence). If anything fails before the commit, the watermark
+        stays where it was and the rows are due again.
         """
-        done = self.commits()
-        low = done[-1]["watermark"] if done else None
-        if limit is None:
-            limit = records.agg(F.max(self.seq_col)).collect()[0][0]
+        last = self.last_commit()
+        low, number = (last["watermark"], last["number"] + 1) if last else (None, 0)
+        at = F.col(self.seq_col)
+        below = F.lit(False) if low is None else at <= low
+        upto = F.lit(True) if limit is None else at <= limit
+        top, old, new = records.where(at.isNotNull()).agg(F.max(at), F.count_if(below), F.count_if(upto)).collect()[0]
+        limit = top if limit is None else limit
+        if last and old != last["rows"]:
+            raise LateRecords(f"{old - last['rows']} rows arrived at or below the watermark {low}")
         if limit is None or (low is not None and limit <= low):
             return None
-        due = records.where(F.col(self.seq_col) <= limit)
-        if low is not None:
-            due = due.where(F.col(self.seq_col) > low)
-        n = len(done)
-        out = f"{self.dir}/staged/{n:09d}-{uuid.uuid4().hex}"
-        transform(due).write.parquet(out)
-        commit = {"seq": n, "low": low, "watermark": limit, "output": out}
-        self._publish(f"{self.dir}/commits/{n:09d}.json", json.dumps(commit))
+        attempt = uuid.uuid4().hex
+        out = f"{self.dir}/staged/{number:09d}-{attempt}"
+        given = due(records, self.seq_col, low, limit)
+        try:
+            (transform(given, self.state(last), number) if stateful else transform(given)).write.parquet(out)
+            state = [*(last["state"] if last else []), out]
+            if compact and len(state) > COMPACT_EVERY:
+                compact(self.spark.read.parquet(*state)).write.parquet(f"{out}-state")
+                state = [f"{out}-state"]
+            commit = {"number": number, "low": low, "watermark": limit, "rows": new, "output": out, "state": state}
+            self._publish(f"{self.dir}/commits/{number:09d}.json", json.dumps(commit))
+        except BaseException:
+            for path in (out, f"{out}-state"):
+                self._fs.delete(self._path(path), True)
+            raise
         return commit
 
     def output(self) -> DataFrame | None:
-        """Everything committed so far."""
-        paths = [c["output"] for c in self.commits()]
-        return self.spark.read.parquet(*paths) if paths else None
+        """The rows of all commits."""
+        if self.last_commit() is None:
+            return None
+        paths = [r["output"] for r in self.spark.read.json(f"{self.dir}/commits/*.json").select("output").toLocalIterator()]
+        return self.spark.read.parquet(*paths)
 
     def _publish(self, target: str, text: str) -> None:
-        part = self._path(f"{target}.{uuid.uuid4().hex}.part")
-        stream = self._fs.create(part, True)
+        part = f"{target}.{uuid.uuid4().hex}.part"
+        stream = self._fs.create(self._path(part), True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if self._fs.exists(self._path(target)) or not self._fs.rename(part, self._path(target)):
-            raise RuntimeError(f"{target} was committed by another run")
+        if self._fs.getScheme() == "file":
+            # A rename on a local disk replaces the target; a link does not.
+            bare = [self._path(x).toUri().getPath() for x in (part, target)]
+            try:
+                os.link(*bare)
+                return
+            except FileExistsError as e:
+                raise CommitConflict(f"{target} was committed by another run") from e
+            finally:
+                os.remove(bare[0])
+        if self._fs.exists(self._path(target)) or not self._fs.rename(self._path(part), self._path(target)):
+            self._fs.delete(self._path(part), False)
+            raise CommitConflict(f"{target} was committed by another run")
 
     def _read(self, path: str) -> str:
         stream = self._fs.open(self._path(path))
@@ -148,3 +141,54 @@ class IncrementalJob:
             return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
+
+
+def changed_files(given: DataFrame, state: DataFrame | None, number: int, run_id: int) -> DataFrame:
+    """(uri, content_hash, gone, number, run_id, is_case) of the files that ``given`` takes, one row each.
+
+    Of the rows of a uri the last by (indexed_at, source_id) counts. It is a case unless it is deleted
+    or its content_hash equals (null-safe) the one that counted when the uri was last taken; after a
+    deleted row, or with no earlier one, it is always a case. Rows are reduced within partitions
+    before the shuffle, so a uri with a third of all rows costs one row a task.
+    """
+    gone = F.coalesce("status", F.lit("indexed")) == "deleted"
+    slim = given.where(F.col("uri").isNotNull())
+    now = slim.groupBy("uri").agg(F.max_by(F.struct("content_hash", gone.alias("gone")), F.struct("indexed_at", "source_id")).alias("now")).select("uri", "now.*")
+    if state is None:
+        case = ~F.col("gone")
+    else:
+        before = latest_state(state).select("uri", F.col("content_hash").alias("old_hash"), F.col("gone").alias("was_gone"))
+        now = now.join(before, "uri", "left")
+        same = F.coalesce(~F.col("was_gone"), F.lit(False)) & F.col("old_hash").eqNullSafe(F.col("content_hash"))
+        case = ~F.col("gone") & ~same
+    return now.select("uri", "content_hash", "gone", F.lit(number).alias("number"), F.lit(run_id).alias("run_id"), case.alias("is_case"))
+
+
+def latest_state(state: DataFrame) -> DataFrame:
+    """The newest row of each uri."""
+    newest = F.max_by(F.struct("content_hash", "gone", "number", "run_id", "is_case"), "number").alias("s")
+    return state.groupBy("uri").agg(newest).select("uri", "s.*")
+
+
+def replay_changes(sources: DataFrame, runs: DataFrame, state_dir: str) -> DataFrame:
+    """(run_id, uri): for each successful run the files new or changed since they were last taken.
+
+    The run log is replayed through an :class:`IncrementalJob`, run by run: a successful run takes
+    the rows with watermark < indexed_at <= its finished_at, judges them by :func:`changed_files`
+    and commits cases, state and watermark together. A run without success, without finished_at, or
+    whose limit is not above the watermark commits nothing; its rows stay due. ``modified_at`` plays
+    no part. Null uris are no files, null status means indexed, repeated rows change nothing, rows
+    after the last successful run are not taken. An empty table or run log gives no rows; run_id keeps
+    its type. The log is read row by row, so its length is not bounded by memory.
+    """
+    spark = sources.sparkSession
+    job = IncrementalJob(spark, state_dir, "indexed_at")
+    records = sources.select("uri", "content_hash", "status", "indexed_at", "source_id")
+    kind = runs.schema["run_id"].dataType
+    ok = runs.where((F.col("status") == "success") & F.col("finished_at").isNotNull()).groupBy("run_id").agg(F.max("finished_at").alias("finished_at"))
+    for run_id, limit in ok.orderBy("run_id").toLocalIterator():
+        job.run(records, lambda given, state, number, r=run_id: changed_files(given, state, number, r), limit=limit, compact=latest_state, stateful=True)
+    done = job.output()
+    if done is None:
+        return sources.where(F.lit(False)).select(F.lit(None).cast(kind).alias("run_id"), "uri")
+    return done.where("is_case").select(F.col("run_id").cast(kind).alias("run_id"), "uri")
