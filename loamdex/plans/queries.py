@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loamdex.functions.bm25 import bm25_top
 from loamdex.operators.incremental import replay_changes
 from loamdex.operators.references import broken_references, orphan_report
-from loamdex.session import table
+from loamdex.session import scratch_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,7 +41,7 @@ WHERE coalesce(status, 'indexed') <> 'deleted'
 
 @query("p3_found", P3_SQL)
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay_changes(table(spark, sf_dir, "sources"), table(spark, sf_dir, "scan_runs"))
+    return replay_changes(table(spark, sf_dir, "sources"), table(spark, sf_dir, "scan_runs"), scratch_dir(spark))
 
 
 P5_SQL = """
