@@ -112,7 +112,7 @@ def merkle_nodes(files: DataFrame) -> DataFrame:
             .agg(F.min("collection").alias("collection"), F.bit_xor("c1").alias("h1"), F.bit_xor("c2").alias("h2"), F.sum("size").alias("size"))
         )
     nodes = deep.where(F.col("depth") <= 1).select(*columns)
-    for x in every:
+    for x in [*every, *([] if level is None else [level])]:
         nodes = nodes.unionByName(x)
     return nodes
 
