@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.session import materialize
+from loamdex.session import materialize, scratch_dir
 
 VENDORED_PATH = re.compile(r"/(_?vendor|vendored|node_modules|bower_components|(third|3rd)[-_]?party|externals?|extern|deps|pods|site-packages|\.?venv)/", re.I)
 GENERATED_PATH = re.compile(r"/(__generated__|generated|generated-sources|autogen|gen|dist|obj|target)/|(_gen|\.gen|\.generated|_generated|[._]pb|_pb2|_pb2_grpc|\.g)\.\w+$", re.I)
@@ -89,48 +89,49 @@ def kind_of(uri: str | None, text: str | None) -> str | None:
 def merkle_nodes(files: DataFrame) -> DataFrame:
     """(path, collection, h1, h2, size) of every file and directory above one.
 
-    ``files`` has (path, collection, h1, h2, size), one row a path. A directory's hash is that of the
+    ``files`` has (path, collection, h1, h2, size), all numbers but the path, one row a path. A directory's hash is that of the
     set of its children, each by name and hash; the children are combined by exclusive or of two
     hashes, so a directory of any number of files is reduced within partitions first and no task
     holds its children. One level of the trees at a time, from the deepest up, each one written to
     the shared folder: the levels above would compute it again otherwise. A directory is the least
     collection's of its files, and of no use as a witness once it holds two.
     """
+    spark = files.sparkSession
     deep = files.withColumn("depth", F.size(F.split("path", "/")))
     deepest = deep.agg(F.max("depth")).collect()[0][0] or 0
     columns = ["path", "collection", "h1", "h2", "size"]
-    level, every = None, []
-    for depth in range(deepest, 1, -1):
+    above, written, folder = None, [], scratch_dir(spark)
+    for depth in range(deepest, 0, -1):
         here = deep.where(F.col("depth") == depth).select(*columns)
-        here = materialize(here if level is None else here.unionByName(level))
-        every.append(here)
+        written.append(f"{folder}/{depth}")
+        (here if above is None else here.unionByName(above)).write.parquet(written[-1])
         name = F.substring_index("path", "/", -1)
-        level = (
-            here.where(F.length("path") > F.length(name) + 1)
+        above = (
+            spark.read.parquet(written[-1])
+            .where(F.length("path") > F.length(name) + 1)
             .select(F.expr("substring(path, 1, length(path) - length(substring_index(path, '/', -1)) - 1)").alias("path"), "collection", F.xxhash64(name, "h1", "h2").alias("c1"), F.xxhash64(F.lit(1), name, "h2", "h1").alias("c2"), "size")
             .groupBy("path")
             .agg(F.min("collection").alias("collection"), F.bit_xor("c1").alias("h1"), F.bit_xor("c2").alias("h2"), F.sum("size").alias("size"))
         )
-    nodes = deep.where(F.col("depth") <= 1).select(*columns)
-    for x in [*every, *([] if level is None else [level])]:
-        nodes = nodes.unionByName(x)
-    return nodes
+    return spark.read.parquet(*written) if written else files.select(*columns)
 
 
 def shared_files(documents: DataFrame) -> DataFrame:
     """(uri) of the files that lie in a subtree which unrelated collections share.
 
     The collection is ``source`` or, where that is null, the path segment after ``repos``; a file
-    with neither is no witness. A file of several rows counts by one of them. Line ends and a byte
+    with neither is no witness. A file of several rows is one file. Line ends and a byte
     order mark make no difference. Blank files hold no text; subtrees of less than LEAST_SHARED
     characters are not compared.
     """
     text = F.regexp_replace(F.coalesce("text", F.lit("")), "^\ufeff|\r(?=\n)", "")
     size = F.length(F.regexp_replace(text, r"(?U)[\s\x00]+", ""))
     repo = F.regexp_extract("uri", "/repos/([^/]+)/", 1)
-    collection = F.coalesce("source", F.when(repo != "", repo))
-    rows = documents.where(F.col("uri").isNotNull()).select("uri", collection.alias("collection"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), size.alias("size"))
-    files = rows.groupBy(F.col("uri").alias("path")).agg(F.min(F.struct("h1", "h2", "size")).alias("f"), F.min("collection").alias("collection")).select("path", "collection", "f.*")
+    held = F.coalesce("source", F.when(repo != "", repo))
+    collection = F.when(held.isNotNull(), F.xxhash64(held))
+    rows = documents.where(F.col("uri").isNotNull()).select("uri", collection.alias("collection"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), size.cast("bigint").alias("size"))
+    # Numbers only, as those are aggregated by hash. A path of several texts has the least of each hash.
+    files = rows.groupBy(F.col("uri").alias("path")).agg(F.min("collection").alias("collection"), F.min("h1").alias("h1"), F.min("h2").alias("h2"), F.max("size").alias("size"))
     files = materialize(files)
     nodes = merkle_nodes(files)
     same = nodes.where((F.col("size") >= LEAST_SHARED) & F.col("collection").isNotNull()).select("path", "collection", "h1", "h2")

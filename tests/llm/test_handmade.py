@@ -43,7 +43,7 @@ def test_subtrees_of_unrelated_collections_are_vendored(spark):
 
 def test_a_directory_hash_is_that_of_its_files(spark):
     def roots(files):
-        df = spark.createDataFrame([(p, "c", h, h * 7, 5) for p, h in files], "path string, collection string, h1 bigint, h2 bigint, size bigint")
+        df = spark.createDataFrame([(p, 1, h, h * 7, 5) for p, h in files], "path string, collection bigint, h1 bigint, h2 bigint, size bigint")
         return {r["path"]: (r["h1"], r["h2"]) for r in merkle_nodes(df).collect()}
 
     a = roots([("r/p/x", 1), ("r/p/q/y", 2), ("s/p/x", 1), ("s/p/q/y", 2), ("t/p/x", 2), ("t/p/q/y", 1), ("u/p/z", 1), ("u/p/q/y", 2)])
