@@ -25,7 +25,8 @@ def dfr_weight(tf: Column, length: Column, avg_length: Column, rate: Column) ->
 
 def term_statistics(documents: DataFrame) -> DataFrame:
     """(term, occurrences) over all documents. Counted within each partition before the shuffle."""
-    return documents.select(F.explode(terms_of("text")).alias("term")).groupBy("term").agg(F.count("*").alias("occurrences"))
+    # Terms are never null; saying so lets both users of the counts share one shuffle.
+    return documents.select(F.explode(terms_of("text")).alias("term")).where(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("occurrences"))
 
 
 def characteristic_terms(documents: DataFrame, probes: DataFrame, k: int) -> DataFrame:
