@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """A new schema with further fields; ``schema`` stays as it is."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def collect_bounded(df: DataFrame, max_rows: int) -> list:
     """All rows of a configuration-sized table; raises instead of collecting an unbounded one."""
     rows = df.limit(max_rows + 1).collect()

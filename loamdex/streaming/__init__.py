@@ -1 +1 @@
-
+"""Indexing as files change."""
