@@ -123,43 +123,6 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(blanks, r"(?U)(?<!\s)\n\s*", "\n"), r"(?U)^\s+|\s+$", "")
 
 
-#: Tags that end a line when they stand without attributes, and the entities that are read.
-LINE_TAGS = ("p", "div", "br", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "blockquote", "pre", "hr", "section", "article", "header", "footer")
-ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
-
-
-def html_parts(html: str | Column) -> Column:
-    """(text, title) of an HTML page.
-
-    The page is cut into tags and text between them, and these are folded with the state of whether a
-    script, a style or the title is open. Text of scripts and styles is left out; that of the title
-    goes to the title, which is null unless a title is closed. A tag still open at the end is dropped.
-    """
-    tokens = F.regexp_extract_all(html, F.lit(r"<[^>]*>|<[^>]*\z|[^<]+"), F.lit(0))
-    parts = F.transform(tokens, lambda t: F.struct(t.alias("t"), t.startswith("<").alias("tag"), F.lower(F.regexp_extract(t, r"([^<]*)>\z", 1)).alias("name")))
-    empty = F.struct(*[F.lit(False).alias(x) for x in ("script", "style", "title")], F.lit("").alias("out"), F.lit("").alias("head"), F.lit(None).cast("string").alias("named"))
-
-    def step(a: Column, x: Column) -> Column:
-        name, tag, closed = x["name"], x["tag"], x["tag"] & x["t"].endswith(">")
-
-        def state(of: str) -> Column:
-            return F.when(closed & name.startswith(of), True).when(closed & name.startswith("/" + of), False).otherwise(a[of])
-
-        text = F.when(tag | a["title"] | a["script"] | a["style"], "").otherwise(x["t"])
-        line = F.when(closed & F.regexp_replace(name, "^/+", "").isin(*LINE_TAGS), "\n").otherwise("")
-        head = F.when(~tag & a["title"], F.concat(a["head"], x["t"])).otherwise(a["head"])
-        named = F.when(closed & name.startswith("/title"), F.trim(a["head"])).otherwise(a["named"])
-        return F.struct(state("script").alias("script"), state("style").alias("style"), state("title").alias("title"), F.concat(a["out"], text, line).alias("out"), head.alias("head"), named.alias("named"))
-
-    def finish(a: Column) -> Column:
-        text = a["out"]
-        for entity, char in ENTITIES:
-            text = F.replace(text, F.lit(entity), F.lit(char))
-        return F.struct(squeezed(text).alias("text"), a["named"].alias("title"))
-
-    return F.aggregate(parts, empty, step, finish)
-
-
 def xml_text(xml: str | Column) -> Column:
     """The text of an XML document: each tag a blank; no entity is read."""
     column = F.col(xml) if isinstance(xml, str) else xml

@@ -1,12 +1,16 @@
-"""Vectors as column expressions; sums in double precision."""
+"""Vectors as column expressions, sums in double precision; and vectors stored as bytes."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamdex.session import with_fields
+
 
 def _column(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -47,23 +51,18 @@ def zeros(dimensions: int = 768) -> Column:
     return F.array_repeat(F.lit(0.0).cast("float"), dimensions)
 
 
-def unpacked(raw: str | Column) -> Column:
-    """A vector stored as little-endian 32-bit floats.
+def unpacked(df: DataFrame, raw: str, out: str) -> DataFrame:
+    """``df`` plus ``out``: the vector stored in ``raw`` as little-endian 32-bit floats.
 
-    The bits are taken apart by arithmetic on the hexadecimal form: four bytes a value, the last first.
+    Null bytes are a null vector; bytes past the last whole value are left out. Whole batches are read at
+    once, as expressions would take a value apart bit by bit.
     """
-    digits = F.hex(_column(raw))
-    at = F.sequence(F.lit(0), F.floor(F.length(digits) / 8).cast("int") - 1)
-
-    def value(i: Column) -> Column:
-        word = F.concat(*[F.substr(digits, i * 8 + 7 - 2 * b, F.lit(2)) for b in range(4)])
-        bits = F.conv(word, 16, 10).cast("bigint")
-        exponent = F.shiftright(bits, 23).bitwiseAND(F.lit(255))
-        fraction = bits.bitwiseAND(F.lit(8388607)).cast("double")
-        sign = F.when(bits >= 2147483648, -1.0).otherwise(1.0)
-        normal = (1 + fraction / 8388608) * F.pow(F.lit(2.0), exponent - 127)
-        small = fraction * F.pow(F.lit(2.0), F.lit(-149.0))
-        special = F.when(fraction == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
-        return (sign * F.when(exponent == 255, special).when(exponent == 0, small).otherwise(normal)).cast("float")
-
-    return F.when(F.length(digits) >= 8, F.transform(at, value)).otherwise(F.when(_column(raw).isNotNull(), F.array().cast("array<float>")))
+    kept = df.drop(out)
+    at = kept.columns.index(raw)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [None if v is None else np.frombuffer(v, "<f4", len(v) // 4) for v in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.list_(pa.float32()))], names=[*batch.schema.names, out])
+
+    return kept.mapInArrow(read, with_fields(kept.schema, f"`{out}` array<float>"))

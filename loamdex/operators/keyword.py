@@ -66,7 +66,7 @@ def bm25_search(chunks: DataFrame, query: str | Sequence[str], k: int | None = 1
     if not words:
         return chunks.where(F.lit(False)).withColumn("score", F.lit(0.0))
     terms = F.coalesce(terms_of("text"), F.array().cast("array<string>"))
-    counts = [F.size(F.filter(terms, lambda x, w=w: x == w)) for w in words]
+    counts = [_occurrences(terms, [w]) for w in words]
     return _matching(chunks, counts, F.size(terms), lambda n, df: F.log(1 + (n - df + 0.5) / (df + 0.5)), k)
 
 

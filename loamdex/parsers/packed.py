@@ -14,8 +14,7 @@ from itertools import zip_longest
 from xml.etree import ElementTree as ET
 
 from loamdex.errors import ParseError
-from loamdex.functions.text import LINE_TAGS
-from loamdex.parsers.base import Document
+from loamdex.parsers.base import LINE_TAGS, Document
 from loamdex.parsers.plain import html_text
 
 #: Bytes read of one entry of an archive, and of all of them; messages say where something is left out.

@@ -8,8 +8,7 @@ import json
 import re
 from decimal import Decimal
 
-from loamdex.functions.text import LINE_TAGS
-from loamdex.parsers.base import Document, lines_of, lossy, squeeze, unescape
+from loamdex.parsers.base import LINE_TAGS, Document, lines_of, lossy, squeeze, unescape
 
 # What the formats are called.
 TEXT_MIMES = ("text/plain", "text/markdown", "text/x-rst", "text/x-org")

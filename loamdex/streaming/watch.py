@@ -37,15 +37,17 @@ def debounced_counts(events: DataFrame, seconds: int, time_column: str, key: str
     The batches are found in range partitions by time, each numbered from where the one before ends, so no
     task sees the whole table though a batch has no other key.
     """
-    day = F.floor(F.unix_micros(time_column) / 86_400_000_000)
-    rows = events.where(F.col(time_column).isNotNull()).select(F.col(time_column).alias("t"), F.col(key).alias("k"), day.alias("d"))
+    # Microseconds since 1970, whether the times have a zone or not.
+    start = F.lit("1970-01-01 00:00:00").cast(events.schema[time_column].dataType)
+    at = F.timestamp_diff("MICROSECOND", start, F.col(time_column))
+    rows = events.where(F.col(time_column).isNotNull()).select(F.col(time_column).alias("t"), at.alias("at"), F.col(key).alias("k")).withColumn("d", F.floor(F.col("at") / 86_400_000_000))
     gap = seconds * 1_000_000
-    inside = Window.partitionBy("d").orderBy("t", "k")
-    lag = F.unix_micros("t") - F.unix_micros(F.lag("t").over(inside))
+    inside = Window.partitionBy("d").orderBy("at", "k")
+    lag = F.col("at") - F.lag("at").over(inside)
     # A day's first row is compared with the last row of the day before that has any: a row a day.
-    ends = rows.groupBy("d").agg(F.max("t").alias("last"))
+    ends = rows.groupBy("d").agg(F.max("at").alias("last"))
     before = ends.withColumn("prior", F.lag("last").over(Window.orderBy("d"))).select("d", "prior")
-    marked = rows.withColumn("lag", lag).join(before, "d").withColumn("lag", F.coalesce("lag", F.unix_micros("t") - F.unix_micros("prior")))
+    marked = rows.withColumn("lag", lag).join(before, "d").withColumn("lag", F.coalesce("lag", F.col("at") - F.col("prior")))
     starts = marked.withColumn("new", F.coalesce(F.col("lag") >= gap, F.lit(True)).cast("int"))
     total = starts.groupBy("d").agg(F.sum("new").alias("n"))
     base = total.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("d", "base")
