@@ -112,9 +112,8 @@ def semantic(text: str, size: int = 512, overlap: int = 64) -> Chunks:
                 at += 1
         at = _down(raw, at if worth else end)
         if at <= start:
-            # A window smaller than its first character: go on with the next one.
-            start = next((i for i in range(start + 1, len(raw)) if raw[i] & 0xC0 != 0x80), len(raw))
-            continue
+            # A window smaller than its first character takes all of it.
+            at = next((i for i in range(start + 1, len(raw)) if raw[i] & 0xC0 != 0x80), len(raw))
         if piece := raw[start:at].decode().strip():
             out.append((piece, start))
         line = raw.find(b"\n", _down(raw, at - overlap), at) if at > overlap else -1

@@ -70,7 +70,7 @@ def cache_stats(cache: DataFrame) -> DataFrame:
 def with_vectors(chunks: DataFrame, embedder: Embedder | None, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(chunks with vectors, cache with the new ones): each distinct text that isn't cached is embedded once.
 
-    Without an embedder every vector is zeros.
+    Without an embedder every vector is zeros, as is that of a null text.
     """
     if embedder is None:
         return chunks.drop("vector").withColumn("vector", zeros()), cache
@@ -78,10 +78,10 @@ def with_vectors(chunks: DataFrame, embedder: Embedder | None, cache: DataFrame
     if cache is None:
         cache = chunks.sparkSession.createDataFrame([], "hash binary, model string, vector array<float>")
     found = looked_up(hashed, cache, embedder.name)
-    missing = found.where(~F.col("cached")).select("text_hash", "text").dropDuplicates(["text_hash"])
+    missing = found.where(~F.col("cached") & F.col("text_hash").isNotNull()).select("text_hash", "text").dropDuplicates(["text_hash"])
     new = embedded(missing, embedder).select(F.col("text_hash").alias("hash"), F.lit(embedder.name).alias("model"), "vector")
     known = put(cache, new)
-    return looked_up(hashed, known, embedder.name).drop("text_hash", "cached"), known
+    return looked_up(hashed, known, embedder.name).drop("text_hash", "cached").withColumn("vector", F.coalesce("vector", zeros(embedder.dimensions))), known
 
 
 def with_image_vectors(chunks: DataFrame, images: DataFrame) -> DataFrame:

@@ -166,7 +166,7 @@ def audio(raw: bytes, mime: str | None = None, extension: str | None = None) ->
     label, known = AUDIO_LABELS.get((extension or "").lower(), "Audio"), {"extension": extension or "audio"}
     try:
         found = next(read for head, read in _READERS if raw.startswith(head))(raw)
-    except (StopIteration, ValueError, EOFError, IndexError, struct.error, wave.Error):
+    except (StopIteration, ValueError, EOFError, IndexError, RuntimeError, struct.error, wave.Error):
         known |= {"size_bytes": str(len(raw)), "parse_method": "fallback"}
         return Document(f"Audio file ({label}). Format could not be fully parsed. Size: {len(raw)} bytes", "audio", metadata=known)
     rate, channels, frames = found["rate"], found["channels"], found.get("frames")

@@ -70,7 +70,11 @@ def code(raw: bytes, mime: str | None = None, extension: str | None = None) -> D
 
 def csv_text(body: str) -> str:
     """``header: value, header: value`` a row; values beyond the headers stand alone. Without rows the text as it is."""
-    rows = [r for r in csv.reader(io.StringIO(body)) if r]
+    csv.field_size_limit(1 << 30)
+    try:
+        rows = [r for r in csv.reader(io.StringIO(body, newline="")) if r]
+    except csv.Error:
+        return body
     if len(rows) < 2:
         return body
     heads = rows[0]

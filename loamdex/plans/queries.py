@@ -530,4 +530,4 @@ SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS events FROM b
 """,
 )
 def debounce_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return debounced(table(spark, sf_dir, "events"), "600 seconds", "ts", "event_type", ("user_id",)).drop("members")
+    return debounced(table(spark, sf_dir, "events"), 600, "ts", "event_type", ("user_id",)).drop("members")

@@ -20,13 +20,14 @@ from loamdex.sources.filesystem import ScanOptions, walk
 DEBOUNCE_MS, POLL_MS = 1000, 100
 
 
-def debounced(events: DataFrame, gap: str, time_column: str = "ts", key: str = "path", by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, started, ended, events, members): batches of events, ended by a pause of ``gap`` or longer.
+def debounced(events: DataFrame, seconds: float, time_column: str = "ts", key: str = "path", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, started, ended, events, members): batches of events, ended by a pause of ``seconds`` or longer.
 
     ``members`` are the distinct keys of a batch, sorted. Session windows are built within tasks first. Works
     on a stream with a watermark too. Rows without a time are in no batch.
     """
-    session = F.session_window(time_column, gap)
+    # A session also takes an event exactly at its end, so the gap is the last microsecond before.
+    session = F.session_window(time_column, f"{round(seconds * 1e6) - 1} microseconds")
     rows = events.where(F.col(time_column).isNotNull()).groupBy(*by, session).agg(F.min(time_column).alias("started"), F.max(time_column).alias("ended"), F.count("*").alias("events"), F.sort_array(F.collect_set(key)).alias("members"))
     return rows.drop("session_window")
 
@@ -108,7 +109,7 @@ def watch(spark: SparkSession, paths: list[str], on_change: Callable[[list[str]]
         if batch := gathered.take():
             on_change(parent_folders(batch))
 
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1000 // POLL_MS).option("numPartitions", 1).load()
     writer = ticks.writeStream.foreachBatch(tick).trigger(processingTime=f"{POLL_MS} milliseconds")
     query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
     if stop is not None:
