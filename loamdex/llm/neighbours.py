@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from loamdex.session import collect_bounded
 
 #: Cells that a vector is compared in: its own and the next nearest.
-PROBES = 3
+PROBES = 4
 #: Collections of fewer vectors are one cell, so nothing is lost in them.
 ONE_CELL = 2000
-#: The sample that is fitted has at most SAMPLE vectors a cell: 20 * 8192 rows at most.
+#: A collection of n vectors has (2 n) ** 0.5 cells, at most MAX_CELLS. The sample that is fitted has
+#: SAMPLE vectors a cell, so 20 * 8192 rows at most.
 MAX_CELLS, SAMPLE, ROUNDS = 8192, 20, 6
 #: Subspaces and code words of the product quantiser.
 PARTS, WORDS = 8, 256
