@@ -54,3 +54,12 @@ def test_query_equals_its_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.SQL)))
 def test_query_without_sql_runs(spark, name):
     assert core.QUERIES[name](spark, SMALL).count() > 0
+
+
+def test_the_package_is_shipped_once(spark):
+    from loamdex.session import ship
+
+    ship(spark)
+    before = list(spark.sparkContext._python_includes)
+    ship(spark)
+    assert "loamdex.zip" in before and spark.sparkContext._python_includes == before
