@@ -46,6 +46,19 @@ def significance(places: Column, n: Column) -> Column:
     return F.array_min(F.transform(at, lambda p: beta_order_probability(p["x"], p["k"], n) / p["w"]))
 
 
+def score_bucket(score: Column) -> Column:
+    """A whole number that grows with a score: 256 steps between powers of two. Null for null.
+
+    Where the logarithm is off by one at a power of two the fraction makes up for it, so larger scores
+    never have smaller numbers.
+    """
+    size = F.abs(score)
+    exponent = F.floor(F.log2(size))
+    place = F.lit(1100 * 256) + exponent * 256 + F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * 256)
+    found = F.when(score == 0, 0).when(size == float("inf"), 1 << 20).otherwise(place)
+    return (F.signum(score) * found).cast("bigint")
+
+
 def ranked_hits(queries: DataFrame, results: DataFrame) -> DataFrame:
     """(query_id, uri, chunk_index, lists, significance, place) of every item of each hybrid query.
 
@@ -58,35 +71,43 @@ def ranked_hits(queries: DataFrame, results: DataFrame) -> DataFrame:
     and chunk_index (null first). Null uri or chunk_index are a value like any other. Repeated query
     rows must agree; the largest alpha counts. Extra columns of either table are ignored.
 
-    A query's hits are shuffled by query and item, then by query and engine: a list is a search
-    engine's answer of at most max_results rows, so a query's rows stay few whatever their number.
+    A list of any length is ranked by buckets of its scores: hits are numbered within a bucket, and a
+    bucket starts after the sizes of those above it, of which a list has few rows. Everything else about
+    a query is counted within tasks first. So a query with a third of all hits is spread over its buckets.
     """
     alpha = F.greatest(F.least(F.coalesce(F.col("alpha"), F.lit(DEFAULT_ALPHA).cast("float")).cast("double"), F.lit(1.0)), F.lit(0.0))
     asked = queries.where((F.col("search_mode") == "hybrid") & F.col("query_id").isNotNull()).groupBy("query_id").agg(F.max(alpha).alias("alpha"))
+    is_vector = F.col("engine") == "vector"
     hits = (
         results.where(F.col("score").isNotNull() & ~F.isnan("score") & F.col("engine").isNotNull())
         .groupBy("query_id", "engine", "uri", "chunk_index")
-        .agg(F.max("score").alias("score"))
+        .agg(F.max(F.col("score").cast("double")).alias("score"))
         .join(asked, "query_id")
+        .where(F.when(is_vector, F.col("alpha") > 0).otherwise(F.col("alpha") < 1))
+        .withColumn("bucket", score_bucket(F.col("score")))
     )
-    in_list = Window.partitionBy("query_id", "engine").orderBy(F.desc("score"), "uri", "chunk_index")
-    whole = Window.partitionBy("query_id")
-    of_item = Window.partitionBy("query_id").orderBy("uri", "chunk_index")
-    is_vector = F.col("engine") == "vector"
-    kept = hits.where(F.when(is_vector, F.col("alpha") > 0).otherwise(F.col("alpha") < 1)).withColumn("rank", F.row_number().over(in_list))
-    # A list's first hit stands for the list; dense_rank over the items counts them.
-    first = F.col("rank") == 1
-    kept = kept.withColumn("others", F.sum((first & ~is_vector).cast("int")).over(whole)).withColumn("n", F.sum(first.cast("int")).over(whole))
-    kept = kept.withColumn("w", F.when(is_vector, F.col("alpha")).otherwise((1 - F.col("alpha")) / F.col("others")))
-    kept = kept.withColumn("w", F.col("w") / F.sum(F.when(first, F.col("w"))).over(whole))
-    kept = kept.withColumn("item", F.dense_rank().over(of_item)).withColumn("items", F.max("item").over(whole))
+    sizes = hits.groupBy("query_id", "engine", "bucket").agg(F.count("*").alias("size"), F.max("alpha").alias("alpha"))
+    above = Window.partitionBy("query_id", "engine").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("query_id", "engine", "bucket", F.coalesce(F.sum("size").over(above), F.lit(0)).alias("start"))
+    lists = sizes.groupBy("query_id", "engine").agg(F.max("alpha").alias("alpha"))
+    counts = lists.groupBy("query_id").agg(F.max("alpha").alias("alpha"), F.count("*").cast("int").alias("n"), F.count_if(~is_vector).alias("others"))
+    items = hits.select("query_id", "uri", "chunk_index").distinct().groupBy("query_id").agg(F.count("*").alias("items"))
+    whole = F.when(F.col("n") > F.col("others"), F.col("alpha")).otherwise(0.0) + F.when(F.col("others") > 0, 1 - F.col("alpha")).otherwise(0.0)
+    known = counts.join(items, "query_id").select("query_id", "n", "items", F.try_divide("alpha", whole).alias("first_weight"), F.try_divide(1 - F.col("alpha"), F.col("others") * whole).alias("other_weight"))
+    in_bucket = Window.partitionBy("query_id", "engine", "bucket").orderBy(F.desc("score"), "uri", "chunk_index")
+    ranked = hits.withColumn("nth", F.row_number().over(in_bucket)).join(starts, ["query_id", "engine", "bucket"]).join(known, "query_id")
+    x = (F.col("start") + F.col("nth")) / F.col("items")
+    w = F.when(is_vector, F.col("first_weight")).otherwise(F.col("other_weight"))
     # At most one entry for each list.
-    places = kept.groupBy("query_id", "uri", "chunk_index", "n").agg(F.sort_array(F.collect_list(F.struct((F.col("rank") / F.col("items")).alias("x"), (-F.col("w")).alias("v"), "w"))).alias("places"))
-    scored = places.select("query_id", "uri", "chunk_index", F.size("places").alias("lists"), F.round(significance(F.col("places"), F.col("n").cast("int")), 9).alias("significance"))
+    places = ranked.groupBy("query_id", "uri", "chunk_index", "n").agg(F.sort_array(F.collect_list(F.struct(x.alias("x"), (-w).alias("v"), w.alias("w")))).alias("places"))
+    scored = places.select("query_id", "uri", "chunk_index", F.size("places").alias("lists"), F.round(significance(F.col("places"), F.col("n")), 9).alias("significance"))
     best = Window.partitionBy("query_id").orderBy("significance", "uri", "chunk_index")
     return scored.withColumn("place", F.row_number().over(best))
 
 
 def fused_top(queries: DataFrame, results: DataFrame, k: int) -> DataFrame:
-    """(query_id, uri, chunk_index): the first ``k`` items of the combined ranking of each hybrid query."""
+    """(query_id, uri, chunk_index): the first ``k`` items of the combined ranking of each hybrid query.
+
+    Only ``k`` items of a query leave each task for the last step.
+    """
     return ranked_hits(queries, results).where(F.col("place") <= k).select("query_id", "uri", "chunk_index")

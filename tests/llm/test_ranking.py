@@ -70,3 +70,19 @@ def test_extra_columns_are_no_matter(spark):
     queries = spark.createDataFrame([(1, 0.5, "hybrid", 1, 2)], QUERY + ", score int, n int")
     hits = spark.createDataFrame([(1, "vector", "a", 0, 1.0, 3, 4)], HIT + ", alpha int, rank int")
     assert ranked_hits(queries, hits).count() == 1
+
+
+def test_buckets_grow_with_the_score(spark):
+    rng = random.Random(8)
+    scores = sorted({0.0, 1.0, 2.0, 0.5, -0.5, -2.0, 3e38, 1e-38, 5e-324, 1e308, math.inf, -math.inf, *(2.0**e for e in range(-60, 60)), *(math.nextafter(2.0**e, 0) for e in range(-60, 60)), *(rng.uniform(-1, 1) * 10 ** rng.randrange(-9, 9) for _ in range(500))})
+    from loamdex.llm.ranking import score_bucket
+
+    df = spark.createDataFrame([(s,) for s in scores], "s double")
+    got = [r["b"] for r in df.select("s", score_bucket(F.col("s")).alias("b")).orderBy("s").collect()]
+    assert got == sorted(got) and len(set(got)) > 300
+
+
+def test_long_lists(spark):
+    rng = random.Random(9)
+    hits = [(1, e, f"u{i:04}", 0, round(rng.gauss(0, 3), 2)) for e in ("vector", "fts5") for i in rng.sample(range(900), 600)]
+    assert [x[1:] for x in top(spark, [(1, 0.6, "hybrid")], hits, 20)] == brute([(*h[:4], float(__import__("numpy").float32(h[4]))) for h in hits], 0.6, 20)
