@@ -15,6 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Commits after which the state a job keeps is rewritten as one folder.
 COMPACT_EVERY = 16
@@ -70,7 +71,11 @@ class IncrementalJob:
 
     def state(self, last: dict | None) -> DataFrame | None:
         """Everything that commits up to ``last`` have written, oldest rows compacted."""
-        return self.spark.read.parquet(*last["state"]) if last else None
+        return self._table(last, last["state"]) if last else None
+
+    def _table(self, commit: dict, paths: list[str]) -> DataFrame:
+        """Folders of a commit's schema, which then needs no look into their files."""
+        return self.spark.read.schema(StructType.fromJson(commit["schema"])).parquet(*paths)
 
     def run(self, records: DataFrame, transform: Callable[..., DataFrame], limit: int | None = None, compact: Callable[[DataFrame], DataFrame] | None = None, stateful: bool = False, verify: bool = True) -> dict | None:
         """Process the rows in (watermark, limit]; ``limit`` defaults to the largest sequence now.
@@ -99,12 +104,12 @@ class IncrementalJob:
         out = f"{self.dir}/staged/{number:09d}-{attempt}"
         given = due(records, self.seq_col, low, limit)
         try:
-            (transform(given, self.state(last), number) if stateful else transform(given)).write.parquet(out)
-            state = [*(last["state"] if last else []), out]
-            if compact and len(state) > COMPACT_EVERY:
-                compact(self.spark.read.parquet(*state)).write.parquet(f"{out}-state")
-                state = [f"{out}-state"]
-            commit = {"number": number, "low": low, "watermark": limit, "rows": upto, "output": out, "state": state}
+            made = transform(given, self.state(last), number) if stateful else transform(given)
+            made.write.parquet(out)
+            commit = {"number": number, "low": low, "watermark": limit, "rows": upto, "output": out, "state": [*(last["state"] if last else []), out], "schema": json.loads(made.schema.json())}
+            if compact and len(commit["state"]) > COMPACT_EVERY:
+                compact(self.state(commit)).write.parquet(f"{out}-state")
+                commit["state"] = [f"{out}-state"]
             self._publish(f"{self.dir}/commits/{number:09d}.json", json.dumps(commit))
         except BaseException:
             for path in (out, f"{out}-state"):
@@ -114,10 +119,11 @@ class IncrementalJob:
 
     def output(self) -> DataFrame | None:
         """The rows of all commits."""
-        if self.last_commit() is None:
+        last = self.last_commit()
+        if last is None:
             return None
-        paths = [r["output"] for r in self.spark.read.json(f"{self.dir}/commits/*.json").select("output").toLocalIterator()]
-        return self.spark.read.parquet(*paths)
+        paths = [r["output"] for r in self.spark.read.schema("output string").json(f"{self.dir}/commits/*.json").toLocalIterator()]
+        return self._table(last, paths)
 
     def _publish(self, target: str, text: str) -> None:
         part = f"{target}.{uuid.uuid4().hex}.part"

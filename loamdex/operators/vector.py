@@ -112,6 +112,16 @@ class CellIndex:
             cells = np.where(np.linalg.norm(total, axis=1)[:, None] > 0, _scaled(total), cells)
         return cls(cells)
 
+    def save(self, path: str) -> None:
+        """Write the centroids to a file; the chunks are a table of their own."""
+        with open(path, "wb") as f:
+            np.save(f, self.centroids)
+
+    @classmethod
+    def load(cls, path: str) -> CellIndex:
+        with open(path, "rb") as f:
+            return cls(np.load(f))
+
     def assign(self, chunks: DataFrame) -> DataFrame:
         """``chunks`` plus ``cell``; null for null and zero vectors."""
         centroids, schema = self.centroids, with_fields(chunks.drop("cell").schema, "cell int")
