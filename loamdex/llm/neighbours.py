@@ -4,8 +4,9 @@ Method: the vectors of one collection and length are assigned to the cells of a
 trained on a bounded sample. A vector lives in its nearest cell, where it is kept as the product
 code of its residual to the centroid, and visits the next nearest ones as a query. In a cell each
 query gets a table of its products with every code word; sums over the codes (asymmetric distance)
-estimate all cosines. The quantisation error of every row is known, and an estimate is off by at most
-that, so exactly the rows that may reach the wanted cosine are reranked with the exact vectors.
+estimate all cosines. The quantisation error of every row is known, and with it the angle between the
+row and its code. A query that is near enough to the row is at most that much farther from the code,
+so all rows that may reach the wanted cosine are reranked with the exact vectors.
 
 So nothing is lost by quantisation; only a pair that shares no cell (neither lives where the other
 lives or visits) is lost. The README has the measured recall.
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamdex.session import collect_bounded
+from loamdex.session import collect_bounded, materialize
 
 #: Cells that a vector is compared in: its own and the next nearest.
 PROBES = 4
@@ -110,6 +111,19 @@ class Quantiser:
             out += np.take(queries[:, p] @ self.words[m].T, codes[:, m], axis=1)
         return out
 
+    def least_estimate(self, cell: int, codes: np.ndarray, error: np.ndarray, least: float) -> np.ndarray:
+        """What the estimate of a unit query is at least, for each coded row, if their cosine is ``least`` or more.
+
+        The angle of the query to the code is at most its angle to the row and the row's to the code.
+        """
+        coded = self.cells[cell] + np.concatenate([w[codes[:, m]] for m, w in enumerate(self.words)], axis=1)
+        size = np.linalg.norm(coded.astype(np.float64), axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            own = (1 + size**2 - error.astype(np.float64) ** 2) / (2 * size)  # by the law of cosines
+        # The thousandth covers single precision where the arc cosine is steepest.
+        angle = np.arccos(np.clip(least, -1, 1)) + np.arccos(np.clip(own, -1, 1)) + 1e-3
+        return np.where(size > 1e-6, size * np.cos(np.minimum(angle, np.pi)) - 1e-4, -np.inf)
+
 
 def _place(key: np.ndarray, cos: np.ndarray, other: np.ndarray) -> np.ndarray:
     """The place of each pair among those of its key: by cosine, then by the other row."""
@@ -127,21 +141,23 @@ def close_pairs(quantiser: Quantiser, cell: int, rows: np.ndarray, stored: np.nd
     fast = exact.astype(np.float32)
     home, ask = np.nonzero(stored)[0], np.nonzero(asking)[0]
     codes, error = quantiser.encode(fast[home], np.full(len(home), cell))
+    enough = quantiser.least_estimate(cell, codes, error, least).astype(np.float32)
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for at in range(0, len(ask), TILE):
         q = ask[at : at + TILE]
-        i, j = np.nonzero(quantiser.estimate(fast[q], cell, codes) + error >= least - 1e-4)
+        i, j = np.nonzero(quantiser.estimate(fast[q], cell, codes) >= enough)
         i, j = q[i], home[j]
-        i, j = i[ids[i] != ids[j]], j[ids[i] != ids[j]]
-        for b in range(0, len(i), 200_000):  # the exact rerank
-            x, y = i[b : b + 200_000], j[b : b + 200_000]
+        # A pair of two rows that both live and ask here is met twice.
+        wanted = (ids[i] != ids[j]) & ((i < j) | ~(stored[i] & asking[j]))
+        i, j = i[wanted], j[wanted]
+        for b in range(0, len(i), 20_000):  # the exact rerank, of what single precision leaves
+            x, y = i[b : b + 20_000], j[b : b + 20_000]
+            close = np.einsum("ij,ij->i", fast[x], fast[y]) >= least - 1e-4
+            x, y = x[close], y[close]
             cos = np.round(np.einsum("ij,ij->i", exact[x], exact[y]), 9)
             x, y, cos = x[cos >= least], y[cos >= least], cos[cos >= least]
             found.append((x, y, cos))
     i, j, cos = (np.concatenate(x) for x in zip(*found, strict=True))
-    # A pair of two rows that both live here is met twice.
-    first = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1, return_index=True)[1]
-    i, j, cos = i[first], j[first], cos[first]
     both = _place(np.r_[i, j], np.r_[cos, cos], ids[np.r_[j, i]]) < k
     kept = both[: len(i)] | both[len(i) :]
     return i[kept], j[kept], cos[kept]
@@ -263,6 +279,9 @@ def similar_pairs(vectors: DataFrame, least: float, k: int) -> DataFrame:
     sides = sides.where(F.col("row") != F.col("other")).groupBy("collection", "row", "other").agg(F.max("cosine").alias("cosine"))
     nearest = Window.partitionBy("collection", "row").orderBy(F.desc("cosine"), "other")
     near = sides.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= k).select("collection", "row", "other", "cosine")
+    # Used twice below. Whether two users share a shuffle depends on when the planner meets them, and
+    # without that the cells would be compared twice.
+    near = materialize(near)
     # A copy beyond the first k + 1 has the neighbours of the last of these: that one has k smaller
     # copies, so it is no neighbour of either. Only such large groups are joined, and a hot one has
     # its rows split by the adaptive skew join.

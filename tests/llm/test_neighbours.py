@@ -74,3 +74,35 @@ def test_estimates_are_within_the_known_error():
         at = np.nonzero(home == cell)[0]
         off = np.abs(q.estimate(unit[:50], cell, codes[at]) - unit[:50] @ unit[at].T)
         assert (off <= error[at] + 1e-5).all() and off.mean() < 0.25
+
+
+def test_rows_that_cannot_be_close_are_not_reranked():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(12, 64))[rng.integers(0, 12, 3000)] + rng.normal(scale=0.9, size=(3000, 64))
+    x = np.concatenate([x, x[:300] + rng.normal(scale=0.3, size=(300, 64)), x[:20]])
+    q = Quantiser(x, 12)
+    unit = neighbours._units(x).astype(np.float32)
+    home = (unit @ q.cells.T).argmax(1)
+    met, loose, reranked = 0, 0, 0
+    for cell in range(12):
+        at = np.nonzero(home == cell)[0]
+        codes, error = q.encode(unit[at], np.full(len(at), cell))
+        got = q.estimate(unit[at], cell, codes)
+        kept = got >= q.least_estimate(cell, codes, error, 0.9)
+        assert kept[unit[at] @ unit[at].T >= 0.9].all()
+        met, loose, reranked = met + got.size, loose + (got + error >= 0.9).sum(), reranked + kept.sum()
+    assert loose > 0.5 * met and reranked < 0.25 * loose
+
+
+def test_a_code_of_no_length_or_no_error_loses_nothing():
+    x = np.eye(4, dtype=np.float32)
+    q = Quantiser(x, 1)
+    codes, error = q.encode(x, np.zeros(4, int))
+    assert (q.estimate(x, 0, codes).diagonal() >= q.least_estimate(0, codes, error, 1.0)).all()
+    q.cells, q.words = np.zeros((1, 4), np.float32), [np.zeros((1, 1), np.float32)] * 4
+    assert (q.least_estimate(0, np.zeros((4, 4), np.uint8), np.ones(4, np.float32), 0.9) == -np.inf).all()
+
+
+def test_cells_are_compared_once(spark):
+    pairs = similar_pairs(spark.createDataFrame(near_rows(100, 8, 7), ROW), 0.9, 5)
+    assert "InArrow" not in pairs._jdf.queryExecution().optimizedPlan().toString()
