@@ -5,6 +5,9 @@ mix, the wanted tokens over the source's tokens, at most max_repeats. The docume
 laid out in a fixed order, their expected copies summed up from the start, one random offset added,
 and a document comes out once for each whole number its interval crosses. So the number of copies
 of any stretch of a source is right to within one, whatever the draw.
+
+The shares are those of the sample. One cannot be reached where the sample has every document of the
+source max_repeats times and still has fewer tokens than wanted.
 """
 
 from __future__ import annotations
@@ -13,9 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamdex.llm.bpe import count_tokens
+from loamdex.session import materialize
 
 #: Pieces of a source whose documents are numbered apart; a source of any size is spread over them.
 STRETCHES = 512
+#: What names a row of the targets; the same mix and source may come with several budgets.
+TARGET = ("mix_name", "source", "target_share", "max_repeats", "budget_tokens")
 
 
 def source_tokens(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -27,19 +33,18 @@ def mix_plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """Each row of ``targets`` with what its source can give.
 
     Adds ``source_tokens`` (0 without documents), ``wanted_tokens`` (share times budget),
-    ``reachable_tokens`` (source_tokens times max_repeats), ``copies`` (expected copies of each
-    document, at most max_repeats; 0 where there is nothing to give) and ``short``: the share
-    cannot be reached. A null share, budget or max_repeats counts as 0; negative ones too.
+    ``reachable_tokens`` (source_tokens times max_repeats) and ``copies`` (expected copies of each
+    document, at most max_repeats; 0 where there is nothing to give). A null share, budget or
+    max_repeats counts as 0; negative ones too. Rows that are equal then count once.
     """
     tokens = sized.groupBy("source").agg(F.sum("tokens").alias("source_tokens"))
     # A few rows for each mix: the planner broadcasts them if they are small.
     zero = F.lit(0)
-    rows = targets.select("mix_name", "source", *[F.greatest(F.coalesce(c, zero), zero).alias(c) for c in ("target_share", "max_repeats", "budget_tokens")])
+    rows = targets.select("mix_name", "source", *[F.greatest(F.coalesce(c, zero), zero).alias(c) for c in TARGET[2:]]).distinct()
     rows = rows.join(tokens, "source", "left").withColumn("source_tokens", F.coalesce("source_tokens", zero))
     rows = rows.withColumn("wanted_tokens", F.col("target_share") * F.col("budget_tokens")).withColumn("reachable_tokens", F.col("source_tokens") * F.col("max_repeats"))
     full = F.least(F.col("wanted_tokens") / F.col("source_tokens"), F.col("max_repeats").cast("double"))
-    rows = rows.withColumn("copies", F.when(F.col("source_tokens") > 0, full).otherwise(F.lit(0.0)))
-    return rows.withColumn("short", F.col("reachable_tokens") < F.col("wanted_tokens"))
+    return rows.withColumn("copies", F.when(F.col("source_tokens") > 0, full).otherwise(F.lit(0.0)))
 
 
 def number_in_source(sized: DataFrame) -> DataFrame:
@@ -59,6 +64,17 @@ def number_in_source(sized: DataFrame) -> DataFrame:
     return numbered.withColumn("position", F.col("_start") + F.col("_at")).drop("_order", "_stretch", "_start", "_at")
 
 
+def draw(sized: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """The rows of ``plan`` with each document drawn for them: doc_id, tokens and copies (1 or more)."""
+    given = plan.where(F.col("copies") > 0).select(*TARGET, F.col("copies").alias("_each"))
+    offset = F.pmod(F.xxhash64(F.lit(seed), "mix_name", "source"), F.lit(1 << 32)) / float(1 << 32)
+    drawn = number_in_source(sized).join(given, "source").withColumn("_u", offset)
+    # Rounded, so that a whole number of copies is not lost to the last bit of a product.
+    upto = F.floor(F.round(F.col("_each") * F.col("position") + F.col("_u"), 6))
+    since = F.floor(F.round(F.col("_each") * (F.col("position") - 1) + F.col("_u"), 6))
+    return drawn.withColumn("copies", (upto - since).cast("int")).where(F.col("copies") > 0).select(*TARGET, "doc_id", "tokens", "copies")
+
+
 def sample_mix(documents: DataFrame, targets: DataFrame, seed: int = 0, vocabulary: str | None = None) -> DataFrame:
     """(mix_name, source, doc_id, tokens, copies): the documents of each mix, each with its copies (1 or more).
 
@@ -67,14 +83,24 @@ def sample_mix(documents: DataFrame, targets: DataFrame, seed: int = 0, vocabula
     belong to no mix; null and empty texts have no tokens and are drawn like the rest. Rows repeated
     under a doc_id are drawn one by one.
     """
-    sized = source_tokens(documents, vocabulary)
-    plan = mix_plan(sized, targets).where(F.col("copies") > 0).select("mix_name", "source", F.col("copies").alias("_each"))
-    offset = F.pmod(F.xxhash64(F.lit(seed), "mix_name", "source"), F.lit(1 << 32)) / float(1 << 32)
-    drawn = number_in_source(sized).join(plan, "source").withColumn("_u", offset)
-    # Rounded, so that a whole number of copies is not lost to the last bit of a product.
-    upto = F.floor(F.round(F.col("_each") * F.col("position") + F.col("_u"), 6))
-    since = F.floor(F.round(F.col("_each") * (F.col("position") - 1) + F.col("_u"), 6))
-    return drawn.withColumn("copies", (upto - since).cast("int")).where(F.col("copies") > 0).select("mix_name", "source", "doc_id", "tokens", "copies")
+    sized = materialize(source_tokens(documents, vocabulary))  # three steps use it; tokens are counted once
+    return draw(sized, mix_plan(sized, targets), seed).select("mix_name", "source", "doc_id", "tokens", "copies")
+
+
+def reached(documents: DataFrame, targets: DataFrame, seed: int = 0, vocabulary: str | None = None) -> DataFrame:
+    """Each row of the plan with ``drawn_tokens`` and ``documents`` of its sample, 0 where nothing was drawn, and ``short``.
+
+    ``short``: the sample has every document max_repeats times, and still fewer tokens than wanted.
+    """
+    sized = materialize(source_tokens(documents, vocabulary))
+    plan = mix_plan(sized, targets)
+    got = draw(sized, plan, seed).groupBy(*TARGET).agg(F.sum(F.col("tokens") * F.col("copies")).alias("drawn_tokens"), F.count("*").alias("documents"))
+    # Grouped, not joined: a null mix is one too.
+    bare = plan.select(*TARGET, "wanted_tokens", "reachable_tokens", F.lit(0).cast("bigint").alias("drawn_tokens"), F.lit(0).cast("bigint").alias("documents"))
+    rows = bare.unionByName(got, allowMissingColumns=True).groupBy(*TARGET)
+    rows = rows.agg(*[F.max(c).alias(c) for c in ("wanted_tokens", "reachable_tokens")], *[F.sum(c).alias(c) for c in ("drawn_tokens", "documents")])
+    used_up = F.col("drawn_tokens") >= F.col("reachable_tokens")
+    return rows.withColumn("short", used_up & (F.col("drawn_tokens") < F.col("wanted_tokens")))
 
 
 def mix_shares(documents: DataFrame, targets: DataFrame, seed: int = 0, vocabulary: str | None = None) -> DataFrame:
@@ -82,15 +108,11 @@ def mix_shares(documents: DataFrame, targets: DataFrame, seed: int = 0, vocabula
 
     ``actual_share`` is of the mix's budget; 0 where nothing was drawn, null for a budget of 0.
     """
-    drawn = sample_mix(documents, targets, seed, vocabulary)
-    got = drawn.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("drawn_tokens"), F.count("*").alias("documents"))
-    plan = mix_plan(source_tokens(documents, vocabulary), targets)
-    zero = F.lit(0)
-    rows = plan.join(got, ["mix_name", "source"], "left").withColumns({c: F.coalesce(c, zero) for c in ("drawn_tokens", "documents")})
     share = F.when(F.col("budget_tokens") > 0, F.col("drawn_tokens") / F.col("budget_tokens"))
+    rows = reached(documents, targets, seed, vocabulary)
     return rows.select("mix_name", "source", "target_share", F.round(share, 6).alias("actual_share"), "drawn_tokens", "documents", "short")
 
 
-def short_sources(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """(mix_name, source) of the plan's rows that cannot reach their share with max_repeats copies."""
-    return mix_plan(source_tokens(documents, vocabulary), targets).where("short").select("mix_name", "source").distinct()
+def short_sources(documents: DataFrame, targets: DataFrame, seed: int = 0, vocabulary: str | None = None) -> DataFrame:
+    """(mix_name, source) whose sample uses up the source, max_repeats copies of each document, and misses the share."""
+    return reached(documents, targets, seed, vocabulary).where("short").select("mix_name", "source").distinct()
