@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loamdex.functions.vector import cosine, literal
-from loamdex.session import collect_bounded, with_fields
+from loamdex.operators.best import HALF, Best, blocks
+from loamdex.session import with_fields
 
 #: Query vectors that are sent to all tasks at once; larger sets go in blocks of this size.
 QUERY_BLOCK = 10_000
+#: Queries and chunks that are multiplied at once.
+TILE = 512, 4096
 #: The index is fitted on at most so many vectors.
 SAMPLE_ROWS, MAX_CELLS = 100_000, 4096
 
@@ -32,49 +37,79 @@ def vector_batch(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, uri, chunk_index, score, place) for a bounded set of (query_id, vector) against all chunks.
 
     Queries are taken in blocks of QUERY_BLOCK. A block is sent to every task, which multiplies it with
-    its chunks batch by batch and passes on its own k best; these are ranked per query.
+    its chunks tile by tile and passes on its own k best; these are ranked per query.
     """
-    out, asked = None, queries.where(F.size("vector") > 0).select("query_id", "vector")
-    numbered = asked.withColumn("_nth", F.row_number().over(Window.orderBy("query_id")) - 1) if asked.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK else asked.withColumn("_nth", F.lit(0))
-    blocks = 1 + (numbered.agg(F.max("_nth")).collect()[0][0] or 0) // QUERY_BLOCK
-    for b in range(blocks):
-        rows = collect_bounded(numbered.where((F.col("_nth") >= b * QUERY_BLOCK) & (F.col("_nth") < (b + 1) * QUERY_BLOCK)), QUERY_BLOCK)
-        part = _block(chunks, [(r["query_id"], r["vector"]) for r in rows], k)
-        out = part if out is None else out.unionByName(part)
+    asked = queries.where(F.size("vector") > 0).select("query_id", "vector").toArrow()
+    schema = StructType([queries.schema["query_id"], chunks.schema["uri"], chunks.schema["chunk_index"], StructField("score", DoubleType())])
+    parts = [_block(chunks, asked.slice(b, QUERY_BLOCK), k, schema) for b in range(0, max(1, asked.num_rows), QUERY_BLOCK)]
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "uri", "chunk_index")
-    return out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return reduce(DataFrame.unionByName, parts).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def _block(chunks: DataFrame, queries: list[tuple], k: int) -> DataFrame:
-    groups: dict[int, tuple[list, list]] = {}
-    for i, v in queries:
-        ids, rows = groups.setdefault(len(v), ([], []))
-        ids.append(i)
-        rows.append(v)
-    shared = {d: (np.array(ids, np.int64), _scaled(np.array(rows, np.float32).astype(float))) for d, (ids, rows) in groups.items()}
+def _vectors(lists: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, their vectors) for each length in a column of vectors; those that are null or hold a null have length 0."""
+    values = lists.flatten()
+    sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+    ends = np.cumsum(sizes)
+    holes = np.r_[0, np.cumsum(np.asarray(values.is_null()))]
+    length, flat = np.where(holes[ends] == holes[ends - sizes], sizes, 0), np.asarray(values.fill_null(0.0))
+    for d in np.unique(length).tolist():
+        at = np.nonzero(length == d)[0]
+        yield d, at, flat[(ends - sizes)[at][:, None] + np.arange(d)]
+
+
+def _block(chunks: DataFrame, asked: pa.Table, k: int, schema: StructType) -> DataFrame:
+    ids, lists = (pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in asked.columns)
+    groups = [(d, ids.take(pa.array(at)), wanted) for d, at, wanted in _vectors(lists)]
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("vector")
-            sizes = np.where(np.asarray(lists.is_valid()), np.diff(np.asarray(lists.offsets)), -1)
-            flat = np.asarray(lists.flatten().cast(pa.float64()).fill_null(0.0))
-            starts = np.r_[0, np.cumsum(np.maximum(sizes, 0))]
-            for d, (ids, wanted) in shared.items():
-                score = np.zeros((len(ids), batch.num_rows))
-                at = np.nonzero(sizes == d)[0]
-                if len(at):
-                    score[:, at] = wanted @ _scaled(flat[starts[at][:, None] + np.arange(d)]).T
-                score = np.round(score, 6)
-                few = min(k, batch.num_rows)
-                # All rows that tie with the k-th, so that the order by key decides among them later.
-                least = -np.partition(-score, few - 1, axis=1)[:, few - 1]
-                q, r = np.nonzero(score >= least[:, None])
-                for i in range(0, len(q), 50_000):
-                    take = pa.array(r[i : i + 50_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[q[i : i + 50_000]]), batch.column("uri").take(take), batch.column("chunk_index").take(take), pa.array(score[q[i : i + 50_000], r[i : i + 50_000]])], names=["query_id", "uri", "chunk_index", "score"])
-
-    found = chunks.select("uri", "chunk_index", "vector").mapInArrow(best, "query_id bigint, uri string, chunk_index int, score double")
-    return found
+        for block in blocks(batches):
+            of = {d: (at, rows) for d, at, rows in _vectors(block.column("vector")) if d}
+            for d, names, wanted in groups:
+                at, rows = of.get(d, (np.zeros(0, np.int64), np.zeros((0, d), np.float32)))
+                yield from _nearest(wanted, at, rows, block.num_rows, k).found(names, block)
+
+    return chunks.select("uri", "chunk_index", "vector").mapInArrow(best, schema)
+
+
+def _nearest(wanted: np.ndarray, at: np.ndarray, rows: np.ndarray, n: int, k: int) -> Best:
+    """The ``k`` best of ``n`` rows for each of ``wanted``: those ``at`` have the vectors ``rows``, the others score 0.
+
+    Tiles of products in single precision tell which pairs can matter; only those are computed in double
+    precision. Vectors that aren't finite have no number as their score, and rank above all.
+    """
+    best = Best(len(wanted), k)
+    mine, theirs = (np.einsum("ij,ij->i", x, x, dtype=float) for x in (wanted, rows))
+    real, plain, odd = np.isfinite(mine) & (mine > 0), np.isfinite(theirs) & (theirs > 0), ~np.isfinite(theirs)
+
+    def alike(which: np.ndarray, above: np.ndarray, level: np.ndarray) -> None:
+        """For all of these queries: rows without a number, then rows of score 0."""
+        row = np.r_[above[: best.k], level[: best.k]][: best.k]
+        best.row[which, : len(row)], best.score[which, : len(row)] = row, np.where(np.arange(len(row)) < len(above), np.inf, 0.0)
+
+    def without(some: np.ndarray) -> np.ndarray:
+        return np.setdiff1d(np.arange(n), some, assume_unique=True)
+
+    alike(~np.isfinite(mine), at, without(at))
+    alike(mine == 0, at[odd], without(at[odd]))
+    alike(real, at[odd], without(at[plain | odd]))
+    few, rows, theirs, wanted, mine = at[plain], rows[plain], theirs[plain], wanted[real], mine[real]
+    if not (len(few) and len(wanted)):
+        return best
+    units, asked = ((x / np.sqrt(m)[:, None]).astype(np.float32) for x, m in ((rows, theirs), (wanted, mine)))
+    margin, inner = 2 * (HALF + 6e-8 * (8 + rows.shape[1])), best.part(real)
+    for a in range(0, len(few), TILE[1]):
+        for b in range(0, len(asked), TILE[0]):
+            tile = asked[b : b + TILE[0]] @ units[a : a + TILE[1]].T
+            of = slice(b, b + len(tile))
+            q, r = np.divmod(np.flatnonzero(tile >= (inner.bound(of, tile, a == 0) - margin).astype(np.float32)[:, None]), tile.shape[1])
+            score = np.empty(len(q))
+            for i in range(0, len(q), 20_000):
+                x, y = q[i : i + 20_000] + b, r[i : i + 20_000] + a
+                score[i : i + 20_000] = np.einsum("ij,ij->i", wanted[x], rows[y], dtype=float) / np.sqrt(mine[x] * theirs[y])
+            inner.offer(of, q, few[r + a], np.round(score, 6))
+    best.score[real], best.row[real] = inner.score, inner.row
+    return best
 
 
 def _scaled(rows: np.ndarray) -> np.ndarray:

@@ -197,3 +197,38 @@ def test_dates():
     for bad in ("yesterday", "2025-13-01", "d", "1969-12-31", "2025-01-32", ""):
         with pytest.raises(ValueError):
             parse_after(bad)
+
+
+def test_vector_batch_passes_on_few_rows_of_ties_and_odd_vectors(spark):
+    from loamdex.operators import vector
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    rng = random.Random(7)
+    odd = [None, [], [0.0, 0.0], [1.0, None], [1.0], [float("nan"), 1.0], [float("inf"), 0.0]]
+    rows = [(f"u{rng.randrange(400)}", i, "t", None, "md", v) for i, v in enumerate(odd + [[1.0, 0.0]] * 300 + [[0.0, 0.0]] * 300 + [[rng.gauss(0, 1), rng.gauss(0, 1)] for _ in range(400)])]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, CHUNK).coalesce(1).cache()
+    for some, places in ((df, 4), (df.where(F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < 9))), 4)):
+        asked = [(1, [2.0, 0.0]), (2, [0.0, 0.0]), (3, [-1.0, 0.5]), (4, [3.0, 0.0, 0.0])]
+        queries = spark.createDataFrame(asked, "query_id bigint, vector array<float>")
+        got = vector_batch(some, queries, places).orderBy("query_id", "place").collect()
+        for i, v in asked:
+            want = [(r["uri"], r["chunk_index"], repr(r["score"])) for r in vector_search(some, v, places).collect()]
+            assert [(r["uri"], r["chunk_index"], repr(r["score"] + 0.0)) for r in got if r["query_id"] == i] == want
+        schema = StructType([queries.schema["query_id"], some.schema["uri"], some.schema["chunk_index"], StructField("score", DoubleType())])
+        assert vector._block(some, queries.toArrow(), places, schema).count() == len(asked) * places
+
+
+def test_vector_batch_takes_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from loamdex.operators.vector import _nearest
+
+    x = np.random.default_rng(1).normal(size=(10_000, 8)).astype(np.float32)
+    tracemalloc.start()
+    best = _nearest(x, np.arange(len(x)), x, len(x), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (best.row[:, 0] == np.arange(len(x))).all() and peak < 100e6
