@@ -6,19 +6,29 @@ digits, go by uri and chunk_index.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loamdex.functions.text import fold, folded_tokens, query_terms, terms_of
+from loamdex.operators.best import HALF, Best, blocks
+from loamdex.session import materialize, shuffle_partitions, with_fields
 
 #: Parameters of BM25: saturation of the term count, and share of the length normalisation.
 K1, B = 1.2, 0.75
 #: What an inverse document frequency that is not positive becomes in the full-text engine.
 LEAST_IDF = 1e-6
+#: Queries that a task scores at a time, and queries and chunks of one tile.
+QUERY_BLOCK, TILE = 50_000, (256, 1024)
+#: Any hit scores more than 0.
+LEAST_SCORE = np.finfo(float).tiny
 
 
 def saturated(tf: Column, dl: Column, avgdl: Column) -> Column:
@@ -108,23 +118,85 @@ def fts_search(chunks: DataFrame, query: str, k: int | None = 10) -> DataFrame:
 
 
 def bm25_batch(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, uri, chunk_index, score, place): the ``k`` best chunks for each row of (query_id, query_text).
+    """(query_id, uri, chunk_index, score, place): the ``k`` best chunks for each row of a bounded set of (query_id, query_text).
 
-    The postings of the queries' terms are joined with the queries by term, summed by query and chunk,
-    and ranked within each query; a frequent term's rows are split by the adaptive execution. Rows of one
-    uri and chunk_index are one chunk.
+    Texts are read once; the queries' terms in each chunk are written in between, as numbers. Every task
+    scores its chunks against the queries tile by tile and passes on its own k best; these are ranked per
+    query. So hits, which grow as queries times chunks, are never rows. Rows of one uri and chunk_index
+    are one chunk with the terms of all.
     """
-    asked = queries.select("query_id", F.explode(terms_of("query_text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    post = postings(chunks)
-    wanted = post.join(asked.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    size = chunks.select("uri", "chunk_index", F.coalesce(F.size(terms_of("text")), F.lit(0)).alias("dl")).groupBy("uri", "chunk_index").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    weighed = asked.join(df, "term").crossJoin(F.broadcast(size))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("times")
-    hits = wanted.join(weighed.select("query_id", "term", "avgdl", idf.alias("idf")), "term")
-    scores = hits.groupBy("query_id", "uri", "chunk_index").agg(F.round(F.sum(F.col("idf") * saturated(F.col("tf"), F.col("dl"), F.col("avgdl"))), 6).alias("score"))
+    asked = queries.select("query_id", F.explode(terms_of("query_text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")).toArrow()
+    term, who = (asked.column(c).combine_chunks().dictionary_encode("encode") for c in ("term", "query_id"))
+    vocabulary, ids = term.dictionary, who.dictionary
+    held = materialize(_held(chunks, vocabulary))
+    size = held.agg(F.sum("n").alias("n"), F.sum("dl").alias("dl")).head()
+    n, avgdl = size["n"] or 0, (size["dl"] or 0) / (size["n"] or 1)
+    df = np.zeros(len(vocabulary))
+    for r in held.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect():  # no more than the vocabulary
+        df[r["term"]] = r["df"]
+    word, query = np.asarray(term.indices), np.asarray(who.indices)
+    weight = np.log(1 + (n - df + 0.5) / (df + 0.5))[word] * np.asarray(asked.column("times"))
+    schema = StructType([queries.schema["query_id"], chunks.schema["uri"], chunks.schema["chunk_index"], StructField("score", DoubleType())])
+    parts = []
+    for b in range(0, max(1, len(ids)), QUERY_BLOCK):
+        mine = (query >= b) & (query < b + QUERY_BLOCK)
+        parts.append(_scored(held, ids.slice(b, QUERY_BLOCK), query[mine] - b, word[mine], weight[mine], len(vocabulary), avgdl, k, schema))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "uri", "chunk_index")
-    return scores.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return reduce(DataFrame.unionByName, parts).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def _held(chunks: DataFrame, vocabulary: pa.Array) -> DataFrame:
+    """(uri, chunk_index, n, dl, terms): rows and length of each chunk, and which terms of the vocabulary it holds, with repetition."""
+    keys = [chunks.schema[c] for c in ("uri", "chunk_index")]
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            known = pc.index_in(lists.flatten(), value_set=vocabulary)
+            kept = np.bincount(np.asarray(pc.list_parent_indices(lists))[np.asarray(known.is_valid())], minlength=batch.num_rows)
+            terms = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept)], pa.int32()), known.drop_null())
+            yield pa.RecordBatch.from_arrays([batch.column("uri"), batch.column("chunk_index"), lists.value_lengths().cast(pa.int64()), terms], names=["uri", "chunk_index", "dl", "terms"])
+
+    each = chunks.select("uri", "chunk_index", F.coalesce(terms_of("text"), F.array().cast("array<string>")).alias("terms"))
+    found = each.mapInArrow(numbered, with_fields(StructType(keys), "dl bigint, terms array<int>"))
+    return found.repartition(shuffle_partitions(chunks.sparkSession), "uri", "chunk_index").groupBy("uri", "chunk_index").agg(F.count("*").alias("n"), F.sum("dl").alias("dl"), F.flatten(F.collect_list("terms")).alias("terms"))
+
+
+def _scored(held: DataFrame, ids: pa.Array, query: np.ndarray, word: np.ndarray, weight: np.ndarray, words: int, avgdl: float, k: int, schema: StructType) -> DataFrame:
+    """The ``k`` best chunks of each task for queries that have the weighted words; ``ids`` by the queries' numbers."""
+    width = np.bincount(query, minlength=len(ids))
+    longest = np.argsort(-width, kind="stable")
+    names, width = ids.take(pa.array(longest)), width[longest]
+    by = np.argsort(np.argsort(longest)[query], kind="stable")  # entries in the order of ``names``
+    word, weight, ends = word[by], weight[by], np.cumsum(width)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            top = Best(len(names), k)
+            lists = block.column("terms")
+            code, tf = np.unique(np.asarray(pc.list_parent_indices(lists)).astype(np.int64) * words + np.asarray(lists.flatten()), return_counts=True)
+            row, term = np.divmod(code, max(1, words))
+            part = saturated(tf, np.asarray(block.column("dl"))[row], avgdl)
+            for a in range(0, block.num_rows, TILE[1]):
+                of = slice(*np.searchsorted(row, (a, a + TILE[1])))
+                there, at = np.unique(term[of], return_inverse=True)
+                parts = np.zeros((len(there) + 1, min(TILE[1], block.num_rows - a)))
+                parts[at, row[of] - a] = part[of]
+                place = np.full(words, len(there))  # the last row is that of terms not there
+                place[there] = np.arange(len(there))
+                for b in range(0, len(names), TILE[0]):
+                    some = slice(b, min(b + TILE[0], len(names)))
+                    tile = np.zeros((some.stop - b, parts.shape[1]))
+                    for j in range(width[b]):
+                        n = np.count_nonzero(width[some] > j)
+                        entry = (ends - width)[b : b + n] + j
+                        tile[:n] += weight[entry][:, None] * parts[place[word[entry]]]
+                    least = np.maximum(top.bound(some, tile, a == 0) - 2 * HALF, LEAST_SCORE)
+                    q, r = np.divmod(np.flatnonzero(tile >= least[:, None]), tile.shape[1])
+                    top.offer(some, q, r + a, np.round(tile[q, r], 6))
+            yield from top.found(names, block)
+
+    return held.select("uri", "chunk_index", "dl", "terms").mapInArrow(best, schema)
 
 
 def parsed_query(query: str) -> list[tuple[str, str | None, list[str]]]:

@@ -232,3 +232,34 @@ def test_vector_batch_takes_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert (best.row[:, 0] == np.arange(len(x))).all() and peak < 100e6
+
+
+def test_bm25_batch_never_makes_rows_of_hits(spark, monkeypatch):
+    from loamdex.operators import keyword
+
+    rng = random.Random(3)
+    words = "budget ledger pool vector folder gateway".split()
+    texts = [" ".join(rng.choices(words, k=rng.randrange(1, 9))) for _ in range(60)] * 5 + ["", None, "x"]
+    df = spark.createDataFrame([(f"u{i}", i % 3, t) for i, t in enumerate(texts)], "uri string, chunk_index int, text string").coalesce(1).cache()
+    asked = [(i, " ".join(rng.choices([*words, "absent"], k=i % 5))) for i in range(40)] + [(40, None), (41, "absent")]
+    queries = spark.createDataFrame(asked, "query_id bigint, query_text string")
+    passed, scored = [], keyword._scored
+    monkeypatch.setattr(keyword, "_scored", lambda *a: passed.append(scored(*a)) or passed[-1])
+    for tile, block in (((256, 1024), 50_000), ((7, 16), 9)):
+        monkeypatch.setattr(keyword, "TILE", tile)
+        monkeypatch.setattr(keyword, "QUERY_BLOCK", block)
+        passed.clear()
+        got = bm25_batch(df, queries, 3).orderBy("query_id", "place").collect()
+        assert sum(p.where(F.col("query_id") == 3).count() for p in passed) <= 3 * 4  # k a task, though most of 303 chunks are hits
+        for i in (3, 4, 8, 14, 29, 40, 41):
+            want = [(r["uri"], r["score"]) for r in bm25_search(df, asked[i][1] or "", 3).collect()]
+            assert [(r["uri"], pytest.approx(r["score"], abs=2e-6)) for r in got if r["query_id"] == i] == want
+
+
+def test_bm25_batch_takes_rows_of_one_chunk_together(spark):
+    schema, queries = "uri string, chunk_index int, text string", spark.createDataFrame([(1, "budget pool")], "query_id bigint, query_text string")
+    rows = [("a", 0, "budget of pool"), ("b", 0, "vector"), ("a", 0, "pool and gateway and folder")]
+    got = bm25_batch(spark.createDataFrame(rows, schema), queries, 5).collect()
+    dl, avg, n, df = 8, 9 / 3, 3, 1
+    want = sum(math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg)) for tf in (1, 2))
+    assert [(r["uri"], r["place"]) for r in got] == [("a", 1)] and got[0]["score"] == pytest.approx(want, abs=1e-6)
